@@ -2,7 +2,7 @@
 
 Each document's histograms over character classes and over the common words of its language are
 compared with that language's references by Jensen-Shannon distance (the square root of the
-divergence in bits, 0 to 1). The references are the mean histograms of all documents that pass the
+divergence in bits, 0 to 1). The references are the median histograms of all documents that pass the
 base rules, by grouped aggregation over the whole table. Guards: documents of fewer than
 ``min_words`` words fail by rule, and the common-word distance is judged only from
 ``min_common_words`` words on, below which it is mostly noise.
@@ -92,19 +92,32 @@ def jensen_shannon(p: Column, q: Column) -> Column:
 
 
 def references(counted: DataFrame) -> DataFrame:
-    """language, kinds_reference, words_reference: mean shares over all documents that pass the base rules."""
+    """language, kinds_reference, words_reference: shares typical of all documents that pass the base rules.
+
+    A bin's reference is the median of its share over documents, which junk moves less than a mean;
+    the medians are scaled to a sum of 1.
+    """
     sound = counted.filter(~F.col("base_failed")).select("language", _shares("kinds").alias("kinds"), _shares("words").alias("words"))
     width = {"kinds": len(CLASSES), "words": max(map(len, COMMON_WORDS.values())) + 1}
-    means = [F.array(*(F.avg(F.col(c)[k]) for k in range(n))).alias(f"{c}_reference") for c, n in width.items()]
-    return sound.groupBy("language").agg(*means)
+    typical = [F.array(*(F.percentile_approx(F.col(c)[k], 0.5, 1000) for k in range(n))).alias(f"{c}_median") for c, n in width.items()]
+    return sound.groupBy("language").agg(*typical).select("language", *(_shares(f"{c}_median").alias(f"{c}_reference") for c in width))
+
 
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 50, min_common_words: int = 50, kinds_limits: tuple[float, float, float] = (0.10, 0.6, 0.30), words_limits: tuple[float, float, float] = (0.14, 1.1, 1.6)) -> DataFrame:
+    """Every row's counts, distances and verdict: kept, or base_failed, or not kept by divergence.
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 50, min_common_words: int = 80, max_kinds: float = 0.25, max_words: float = 0.5) -> DataFrame:
-    """Every row's counts, distances and verdict: kept, or base_failed, or not kept by divergence."""
+    The noise of a histogram falls with the root of the number of words, and the limits with it.
+    A document goes if both distances pass their base plus the second number over that root, or
+    if the class distance passes its third number, or the word distance its base plus the third
+    number over that root.
+    """
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counted = materialize(features(docs, id_col, text_col, lang_col).withColumn("base_failed", failed), "quality-features")
     # at most one reference row per listed language and one more: small by construction
     judged = counted.join(F.broadcast(references(counted)), "language", "left")
     judged = judged.withColumn("kinds_distance", jensen_shannon(_shares("kinds"), F.col("kinds_reference"))).withColumn("words_distance", F.when(F.col("n_words") >= min_common_words, jensen_shannon(_shares("words"), F.col("words_reference"))))
-    far = (F.coalesce(F.col("kinds_distance"), F.lit(0.0)) > max_kinds) | (F.coalesce(F.col("words_distance"), F.lit(0.0)) > max_words)
+    noise = 1 / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
+    kinds, words = F.coalesce(F.col("kinds_distance"), F.lit(0.0)), F.coalesce(F.col("words_distance"), F.lit(0.0))
+    both = (kinds > kinds_limits[0] + kinds_limits[1] * noise) & (words > words_limits[0] + words_limits[1] * noise)
+    far = both | (kinds > kinds_limits[2]) | (words > words_limits[0] + words_limits[2] * noise)
     return judged.select("doc_id", "language", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kinds_distance", "words_distance", (~F.col("base_failed") & ~far).alias("kept"))
