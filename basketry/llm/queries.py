@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import best_fit_packing, byte_bpe, chat_format, license_scan, ngram_join, quality_classifier, quality_rules, token_counts
+from basketry.llm import ann_permutation, best_fit_packing, byte_bpe, chat_format, license_scan, ngram_join, quality_classifier, quality_rules, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_permutation.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_permutation_index": op9_permutation_index,
     "op10_token_counts": op10_token_counts,
 }
 
