@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import ann_permutation, best_fit_packing, byte_bpe, chat_format, license_scan, ngram_join, quality_classifier, quality_rules, token_counts
+from basketry.llm import ann_permutation, best_fit_packing, byte_bpe, chat_format, language_id, license_scan, ngram_join, quality_classifier, quality_rules, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.windows(turns.unionByName(hard)))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language_id.text_model(_table(spark, sf_dir, "documents"))
+    return language_id.identify(language_id.page_rows(_table(spark, sf_dir, "pages")), model).withColumnRenamed("id", "page_id")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_chat_format": op3_chat_format,
+    "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_best_fit_packing": op7_best_fit_packing,
