@@ -91,7 +91,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Encoder and decoder of one worker."""
 
-    def __init__(self, path: str, cache_entries: int = 300_000, memory_mb: int = 256) -> None:
+    def __init__(self, path: str, cache_entries: int = 1_000_000, memory_mb: int = 256) -> None:
         import duckdb
         import regex
 
@@ -108,15 +108,15 @@ class Codec:
                     merged.append(rank)
         self._table("merges", pair=pa.array(pairs, pa.int64()), rank=pa.array(merged, pa.int32()))
         self._table("vocabulary", token=pa.array(list(ranks.values()), pa.int32()), piece=pa.array([t.decode("latin-1") for t in ranks]))
+        self.decimal = [str(n) for n in range(max(ranks.values()) + 1)]
         self.ids: dict[str, bytes] = {}
-        self.said: dict[str, str] = {}
 
     def _table(self, name: str, **columns: pa.Array) -> None:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _contract(self, words: list[bytes], query: str) -> list[np.ndarray]:
+    def _contract(self, words: list[bytes], query: str) -> list[bytes]:
         raw = np.frombuffer(b"".join(words), dtype=np.uint8)
         sizes = np.asarray([len(w) for w in words])
         begin = np.cumsum(sizes) - sizes
@@ -125,29 +125,32 @@ class Codec:
         self.db.register("letters", rows)
         found = self.db.sql(query).to_arrow_table()
         self.db.unregister("letters")
-        cuts = np.searchsorted(found.column("word").to_numpy(), np.arange(1, len(words)))
-        return np.split(found.column("token").to_numpy().astype("<u4"), cuts)
+        cuts = (4 * np.searchsorted(found.column("word").to_numpy(), np.arange(len(words) + 1))).tolist()
+        flat = found.column("token").to_numpy().astype("<u4").tobytes()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def learn(self, words: set[str]) -> None:
         missing = list(words.difference(self.ids))
         if len(self.ids) + len(missing) > self.room:
-            self.ids, self.said = {}, {}
+            self.ids = {}
             missing = list(words)
         coded = [w.encode() for w in missing]
         short = [k for k, w in enumerate(coded) if len(w) <= LONG]
         for keys, query, size in ((short, _CONTRACT, _WORDS_A_QUERY), ([k for k, w in enumerate(coded) if len(w) > LONG], _CONTRACT_ALL, 64)):
             for at in range(0, len(keys), size):
                 part = keys[at : at + size]
-                for k, ids in zip(part, self._contract([coded[k] for k in part], query)):
-                    self.ids[missing[k]] = ids.tobytes()
-                    self.said[missing[k]] = " ".join(map(str, ids.tolist()))
+                self.ids.update(zip([missing[k] for k in part], self._contract([coded[k] for k in part], query)))
 
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
-        """Each text's ids as little-endian 32-bit bytes, and as decimals with single spaces."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids, as little-endian 32-bit bytes."""
         words = [self.find(t) for t in texts]
         self.learn(set().union(*words))
-        ids, said = self.ids.__getitem__, self.said.__getitem__
-        return [b"".join(map(ids, w)) for w in words], [" ".join(map(said, w)) for w in words]
+        ids = self.ids.__getitem__
+        return [b"".join(map(ids, w)) for w in words]
+
+    def decimals(self, coded: bytes) -> str:
+        """Ids in decimal, with single spaces between them."""
+        return " ".join(map(self.decimal.__getitem__, np.frombuffer(coded, dtype="<u4").tolist()))
 
     def decode(self, coded: list[bytes]) -> list[bytes]:
         """The bytes that each sequence of ids stands for."""
@@ -163,7 +166,7 @@ class Codec:
         return out
 
 
-def codec(path: str, cache_entries: int = 300_000) -> Codec:
+def codec(path: str, cache_entries: int = 1_000_000) -> Codec:
     """This worker's codec for a rank file."""
     key = (path, cache_entries)
     if key not in _codecs:
@@ -172,14 +175,14 @@ def codec(path: str, cache_entries: int = 300_000) -> Codec:
     return _codecs[key]
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", cache_entries: int = 300_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", cache_entries: int = 1_000_000) -> DataFrame:
     """doc_id, ids (array of ints): the tokens of every row's text."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                coded, _ = codec(path, cache_entries).encode(part.column("text").to_pylist())
+                coded = codec(path, cache_entries).encode(part.column("text").to_pylist())
                 flat = pa.array(np.frombuffer(b"".join(coded), dtype="<u4").astype(np.int32))
                 cuts = pa.array(np.cumsum([0, *(len(c) // 4 for c in coded)]), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(cuts, flat)], ["doc_id", "ids"])
@@ -188,7 +191,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
-def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids", cache_entries: int = 300_000) -> DataFrame:
+def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids", cache_entries: int = 1_000_000) -> DataFrame:
     """doc_id, data (binary): the bytes of every row's ids; null ids stand for none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +205,7 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, data binary")
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", cache_entries: int = 300_000) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", cache_entries: int = 1_000_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encode every text, decode the ids, digest both, in one pass."""
     bounded_batches(docs.sparkSession)
 
@@ -210,8 +213,8 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 own = codec(path, cache_entries)
-                coded, said = own.encode(part.column("text").to_pylist())
-                columns = [part.column("doc_id"), pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array([hashlib.sha256(s.encode()).hexdigest() for s in said]), pa.array([hashlib.sha256(d).hexdigest() for d in own.decode(coded)])]
+                coded = own.encode(part.column("text").to_pylist())
+                columns = [part.column("doc_id"), pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array([hashlib.sha256(own.decimals(c).encode()).hexdigest() for c in coded]), pa.array([hashlib.sha256(d).hexdigest() for d in own.decode(coded)])]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = text_of(docs, id_col, text_col)
