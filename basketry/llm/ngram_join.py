@@ -29,7 +29,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm.common import Words, bounded_batches, materialize, mix, shingles, slices, text_bytes
@@ -86,9 +86,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, bands: in
     return rows_.mapInArrow(run, f"doc_id {rows_.schema['doc_id'].dataType.simpleString()}, pick long, set_id long, n_grams long, keys array<long>, sketch binary")
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A key by which a row of the input is found again; rows with one id and text share it."""
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+
+
 def _picked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("pick"), text.alias("text"))
+    return docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("pick"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def least_matches(threshold: float, tolerance: float, steps: list[int]) -> list[int]:
@@ -272,20 +276,26 @@ def _similar(grams: np.ndarray, bounds: np.ndarray, threshold: float) -> np.ndar
     return near
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 4, tolerance: float = 1e-6) -> DataFrame:
-    """doc_id, class_id, n_links for every row: its class's least id, and how many other rows are similar to it."""
+def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 4, tolerance: float = 1e-6) -> DataFrame:
+    """As ngram_join(), and pick (the row's key, see row_key()) and class_pick (the key of the row that stands for the class)."""
     signed = materialize(signatures(docs, id_col, text_col, size, bands, rows), "signatures")
-    reps = signed.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low_id"), F.min_by("pick", F.struct("doc_id", "pick")).alias("pick"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("n_grams").alias("n_grams"))
-    reps = materialize(reps, "sets")
+    reps = signed.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low_id"), F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "pick")).alias("low"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("n_grams").alias("n_grams"))
+    reps = materialize(reps.withColumn("pick", F.col("low.pick")), "sets")
     met = materialize(connected_components(candidate_forest(reps, threshold, tolerance, bands, rows)), "met")
     homes = met.withColumnRenamed("node", "set_id").join(reps.select("set_id", "copies", "pick", "n_grams"), "set_id")
     many = homes.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     homes = homes.join(many, "root").select("pick", "set_id", "copies", "root", "blocks")
     links = materialize(verified_links(docs, homes, id_col, text_col, size, threshold), "links")
     classes = connected_components(links.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
-    ids = reps.select("set_id", "copies", "low_id").join(classes.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    ids = ids.join(ids.groupBy("root").agg(F.min("low_id").alias("class_id")), "root")
+    ids = reps.select("set_id", "copies", "low_id", "low").join(classes.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    ids = ids.join(ids.groupBy("root").agg(F.min("low_id").alias("class_id"), F.min("low").alias("first")), "root")
     ids = ids.join(links.groupBy("set_id").agg(F.sum("n_links").alias("others")), "set_id", "left")
-    ids = ids.select("set_id", "class_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    rows_ = signed.select("doc_id", "set_id").join(ids, "set_id", "left")
-    return rows_.select("doc_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    ids = ids.select("set_id", "class_id", F.col("first.pick").alias("class_pick"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    rows_ = signed.select("doc_id", "pick", "set_id").join(ids, "set_id", "left")
+    alone = F.col("set_id").isNull()
+    return rows_.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "pick", F.when(alone, F.col("pick")).otherwise(F.col("class_pick")).alias("class_pick"))
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 4, tolerance: float = 1e-6) -> DataFrame:
+    """doc_id, class_id, n_links for every row: its class's least id, and how many other rows are similar to it."""
+    return ngram_classes(docs, id_col, text_col, size, threshold, bands, rows, tolerance).select("doc_id", "class_id", "n_links")
