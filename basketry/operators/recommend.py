@@ -79,7 +79,7 @@ def rule_based(ratings: DataFrame, rules: DataFrame) -> DataFrame:
 
     Items already rated are predicted too, and nothing is rounded to a whole score.
     """
-    numbered = rules.withColumn("rule", F.xxhash64("antecedent", "consequent"))
+    numbered = rules.withColumn("rule", F.xxhash64(F.size("antecedent"), "antecedent", "consequent"))
     needs = numbered.select("rule", F.size("antecedent").alias("needed"), F.explode("antecedent").alias("item_id"))
     held = ratings.join(needs, "item_id").groupBy("user_id", "rule", "needed").agg(F.count("*").alias("n"), F.sum("score").alias("scores"))
     held = held.filter(F.col("n") == F.col("needed"))
