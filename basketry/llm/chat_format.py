@@ -9,8 +9,8 @@ Prefix sums of the turns' tokens choose the spans. With room for C tokens in a c
 the cell in which its last token falls; the turns of a cell make one window. A turn longer than a
 cell stands alone. A window repeats the conversation's leading system turn and, of the window
 before, the last turns within ``history`` tokens. With C = (budget - history - system) / 2 no
-window exceeds the budget, unless one turn or the system turn alone is too long: turns are never
-cut. Assistant texts are targets once: in repeated turns they are masked.
+window exceeds the budget, unless a turn is longer than two cells or the system turn takes all the
+room: turns are never cut. Assistant texts are targets once: in repeated turns they are masked.
 
 All is DataFrame functions. Turns are ordered by windows over the conversation, which spill; what
 is gathered in one row is never more than two neighbouring windows' turns.

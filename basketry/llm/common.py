@@ -56,7 +56,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[p
     """Cut a batch so that each slice has at most ``limit`` bytes of text, or one row."""
     import pyarrow.compute as pc
 
-    sizes = np.cumsum(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False))
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
     start, done = 0, 0
     while start < batch.num_rows:
         stop = max(start + 1, int(np.searchsorted(sizes, done + limit, side="right")))
