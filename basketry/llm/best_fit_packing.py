@@ -14,6 +14,7 @@ null id is packed like any other; repeated rows are packed once each; other colu
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -28,43 +29,82 @@ from basketry.llm.common import bounded_batches, materialize, slices, text_of
 _encoders: dict[tuple, _ChunkEncoder] = {}
 
 
+#: A plain chunk: letters of ASCII and Latin-1, which have no combining forms, then ASCII punctuation but the apostrophe.
+_PLAIN = re.compile(r"([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+
+
 class _ChunkEncoder:
     """Token ids of whole texts, as little-endian 32-bit bytes, from a cache of white-space chunks.
 
     The vocabulary drops white space before it splits words, so a text's ids are those of its
-    chunks in order. Two kinds of text go to the library whole: those that may hold special
-    tokens, and those with the four separators that Python's split() takes for white space only.
+    chunks in order. A plain chunk's ids are those of its letters in lower case, which the
+    vocabulary takes for one word, and of its tail of punctuation, which it takes for another.
+    New words go through the library many at a time, already split; a word's last token, and
+    no other, is one with an end mark. Other chunks go to the library one by one, and texts that
+    may hold special tokens or one of the four separators that Python's split() takes for white
+    space and the vocabulary doesn't go there whole.
     """
 
     def __init__(self, path: str, cache_entries: int) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.words_only = Tokenizer.from_file(path)
+        self.words_only.normalizer = normalizers.Sequence([])
+        self.words_only.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = regex.compile("[\x1c-\x1f]" + "".join("|" + regex.escape(t) for t in added))
-        self.room, self.ids = cache_entries, {}
+        self.odd = ["\x1c", "\x1d", "\x1e", "\x1f", *added]
+        self.room, self.chunks, self.words, self.tails = cache_entries, {}, {}, {"": b""}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        odd = self.odd.search
-        chunks = [None if odd(t) else t.split() for t in texts]
-        words = set().union(*(c for c in chunks if c))
-        missing = list(words.difference(self.ids))
-        if len(self.ids) + len(missing) > self.room:
-            self.ids = {}
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn_words(self, words: set[str]) -> None:
+        missing = list(words.difference(self.words))
+        if len(self.words) + len(missing) > self.room:
+            self.words = {}
             missing = list(words)
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.ids.update((w, np.asarray(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, found))
-        get = self.ids.__getitem__
-        return [b"".join(map(get, c)) if c is not None else np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t, c in zip(texts, chunks)]
+        for at in range(0, len(missing), 4000):
+            part = missing[at : at + 4000]
+            (found,) = self.words_only.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)
+            ids = np.asarray(found.ids, dtype="<u4")
+            ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
+            flat = ids.tobytes()
+            self.words.update(zip(part, [flat[i:j] for i, j in zip([0, *ends], ends)], strict=True))
+
+    def _learn(self, chunks: set[str]) -> None:
+        missing = list(chunks.difference(self.chunks))
+        if len(self.chunks) + len(missing) > self.room:
+            self.chunks = {}
+            missing = list(chunks)
+        bare = [chunk for chunk in missing if chunk.isascii() and chunk.isalpha()]
+        other = [(chunk, _PLAIN(chunk)) for chunk in missing if not (chunk.isascii() and chunk.isalpha())]
+        lower = [chunk.lower() for chunk in bare]
+        tailed = [(chunk, m[1].lower(), m[2]) for chunk, m in other if m]
+        self._learn_words({*lower, *(word for _, word, _ in tailed)})
+        self.chunks.update(zip(bare, map(self.words.__getitem__, lower)))
+        for tail in {tail for _, _, tail in tailed}.difference(self.tails):
+            self.tails[tail] = self._whole(tail)
+        self.chunks.update((chunk, self.words[word] + self.tails[tail]) for chunk, word, tail in tailed)
+        self.chunks.update((chunk, self._whole(chunk)) for chunk, m in other if not m)
+        if len(self.tails) > 50_000:
+            self.tails = {"": b""}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        odd = self.odd
+        chunks = [None if any(x in t for x in odd) else t.split() for t in texts]
+        self._learn(set().union(*(c for c in chunks if c)))
+        get = self.chunks.__getitem__
+        return [b"".join(map(get, c)) if c is not None else self._whole(t) for t, c in zip(texts, chunks)]
 
 
-def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, cache_entries: int = 400_000) -> DataFrame:
+def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, cache_entries: int = 1_500_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: every document's ids and the end id, cut at ``capacity``."""
     bounded_batches(docs.sparkSession)
 
@@ -75,7 +115,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             _encoders[key] = _ChunkEncoder(path, cache_entries)
         encoder = _encoders[key]
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text"):
                 row, piece, start, length, crc = [], [], [], [], []
                 for k, ids in enumerate(encoder.encode(part.column("text").to_pylist())):
                     ids += end
@@ -227,6 +267,9 @@ def pack(parts: DataFrame, capacity: int = 4096, group_pieces: int = 8192) -> Da
     return dealt.mapInArrow(fit, f"{schema}, sequence_id long, offset long")
 
 
-def packing(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, group_pieces: int = 8192) -> DataFrame:
-    """Pieces of all documents with their places in sequences of at most ``capacity`` tokens."""
-    return pack(pieces(docs, path, id_col, text_col, capacity, end_id), capacity, group_pieces)
+def packing(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, group_pieces: int = 8192, cache_entries: int = 1_500_000) -> DataFrame:
+    """Pieces of all documents with their places in sequences of at most ``capacity`` tokens.
+
+    ``cache_entries`` bounds what a worker remembers, at about 200 bytes an entry; it changes speed alone.
+    """
+    return pack(pieces(docs, path, id_col, text_col, capacity, end_id, cache_entries), capacity, group_pieces)
