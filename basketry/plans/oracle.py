@@ -78,8 +78,8 @@ def _item_based(name: str = "ib", neighbours: str = "nb") -> str:
   FROM train JOIN {neighbours} USING (item_id) WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user_id = train.user_id AND t.item_id = other_id) GROUP BY 1, 2)"""
 
 
-def _errors(predicted: str) -> str:
-    return f"""SELECT round(avg(abs(coalesce(round(p.raw), 0) - test.score)), 6) AS mae, round(sqrt(avg((coalesce(round(p.raw), 0) - test.score) ** 2)), 6) AS rmse, count(*) AS n
+def _errors(predicted: str, value: str = "round(p.raw)") -> str:
+    return f"""SELECT round(avg(abs(coalesce({value}, 0) - test.score)), 6) AS mae, round(sqrt(avg((coalesce({value}, 0) - test.score) ** 2)), 6) AS rmse, count(*) AS n
 FROM test LEFT JOIN {predicted} p USING (user_id, item_id) WHERE test.user_id IN (SELECT user_id FROM train)"""
 
 
@@ -95,6 +95,9 @@ _CELLS = " UNION ALL ".join(
     for uk, ut in enumerate((0.1, 0.2, 0.3)) for ik, it in enumerate((0.01, 0.02))
 )
 
+_HYBRID = f"{_split(SUPPLIERS)}, s AS ({_pearson('train')}), si AS ({_adjusted('train')}), {_user_based(0.2)}, {_neighbours(0.02)}, {_item_based()}, hy AS (SELECT user_id, item_id, round(ub.raw * 0.4 + ib.raw * 0.6, 6) AS raw FROM ub JOIN ib USING (user_id, item_id))"
+_RULED = f"{_split(SUPPLIERS)}, o AS (SELECT DISTINCT user_id AS tid, item_id AS item FROM train), f AS (SELECT item, count(*) AS support FROM o GROUP BY 1), p AS (SELECT x.item AS a, y.item AS c, count(*) AS support FROM o x JOIN o y ON x.tid = y.tid AND x.item <> y.item GROUP BY 1, 2 HAVING count(*) >= (SELECT greatest(1, round(count(DISTINCT tid) * 0.3)) FROM o)), q AS (SELECT a, c, p.support / f.support AS conf FROM p JOIN f ON item = a WHERE p.support / f.support >= 0.8), ru AS (SELECT user_id, c AS item_id, round(sum(conf * score) / sum(conf), 6) AS raw FROM q JOIN train ON item_id = a GROUP BY 1, 2)"
+
 ORACLE_SQL: dict[str, str] = {
     "source_baskets_brand": BRANDS,
     "source_baskets_of_ratings": f"SELECT DISTINCT user_id AS tid, item_id AS item FROM ({EVENTS})",
@@ -139,8 +142,12 @@ ORACLE_SQL: dict[str, str] = {
     "recommend_item_based": f"{_split(CUSTOMERS)}, si AS ({_adjusted('train')}), {_neighbours(0.01)}, {_item_based()} SELECT user_id, item_id, raw, round(raw) AS score FROM ib",
     "recommend_item_based_top": f"{_split(CUSTOMERS)}, si AS ({_adjusted('train')}), {_neighbours(0.01)}, {_item_based()} SELECT user_id, item_id, raw, round(raw) AS score FROM ib QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY raw DESC, item_id) <= 2",
     "recommend_mean_centred": f"{_split(SUPPLIERS)}, s AS ({_pearson('train')}), m AS (SELECT user_id, avg(score) AS mean FROM train GROUP BY 1), p AS (SELECT thing AS user_id, item_id, sum(sim * (score - mean)) / sum(abs(sim)) AS above FROM ({BOTH}) JOIN train ON train.user_id = other JOIN m ON m.user_id = other WHERE abs(sim) > 0.2 AND NOT EXISTS (SELECT 1 FROM train t WHERE t.user_id = thing AND t.item_id = train.item_id) GROUP BY 1, 2) SELECT user_id, item_id, round(mean + above, 6) AS raw, round(round(mean + above, 6)) AS score FROM p JOIN m USING (user_id)",
-    "recommend_hybrid": f"{_split(SUPPLIERS)}, s AS ({_pearson('train')}), si AS ({_adjusted('train')}), {_user_based(0.2)}, {_neighbours(0.02)}, {_item_based()} SELECT user_id, item_id, round(ub.raw * 0.4 + ib.raw * 0.6, 6) AS raw FROM ub JOIN ib USING (user_id, item_id)",
-    "recommend_rule_based": f"{_split(SUPPLIERS)}, o AS (SELECT DISTINCT user_id AS tid, item_id AS item FROM train), f AS (SELECT item, count(*) AS support FROM o GROUP BY 1), p AS (SELECT x.item AS a, y.item AS c, count(*) AS support FROM o x JOIN o y ON x.tid = y.tid AND x.item <> y.item GROUP BY 1, 2 HAVING count(*) >= (SELECT greatest(1, round(count(DISTINCT tid) * 0.3)) FROM o)), q AS (SELECT a, c, p.support / f.support AS conf FROM p JOIN f ON item = a WHERE p.support / f.support >= 0.8) SELECT user_id, c AS item_id, round(sum(conf * score) / sum(conf), 6) AS raw FROM q JOIN train ON item_id = a GROUP BY 1, 2",
+    "recommend_hybrid": f"{_HYBRID} SELECT * FROM hy",
+    "recommend_rule_based": f"{_RULED} SELECT * FROM ru",
+    "evaluate_hybrid": f"{_HYBRID} {_errors('hy', 'p.raw')}",
+    "evaluate_rule_based": f"{_RULED} {_errors('ru', 'p.raw')}",
+    "index_word_frequency": "SELECT item, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS item FROM documents) GROUP BY 1",
+    "recommend_item_based_one": f"{_split(CUSTOMERS)}, si AS ({_adjusted('train')}), {_neighbours(0.01)}, {_item_based()} SELECT user_id, item_id, raw, round(raw) AS score FROM ib WHERE user_id = 1",
     "evaluate_user_based": f"{_split(SUPPLIERS)}, s AS ({_pearson('train')}), {_user_based(0.2)} {_errors('ub')}",
     "evaluate_item_based": f"{_split(CUSTOMERS)}, si AS ({_adjusted('train')}), {_neighbours(0.01)}, {_item_based()} {_errors('ib')}",
     "grid_search": f"{_GRID} SELECT CAST(user_threshold AS DOUBLE) AS user_threshold, CAST(item_threshold AS DOUBLE) AS item_threshold, CAST(alpha AS DOUBLE) AS alpha, mae FROM ({_CELLS})",

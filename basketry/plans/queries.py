@@ -271,6 +271,12 @@ def index_change_key_info(s: SparkSession, d: str) -> DataFrame:
     return changed.groupBy("item").agg(F.min("key_info").alias("key_info"))
 
 
+@query
+def index_word_frequency(s: SparkSession, d: str) -> DataFrame:
+    words = files.document_words(tables.table(s, d, "documents"))
+    return index.document_frequencies(index.build(words.select("item", F.col("tid").alias("record_id"))))
+
+
 @query
 def index_size(s: SparkSession, d: str) -> DataFrame:
     return index.size_of(_index(s, d))
@@ -335,6 +341,11 @@ def recommend_item_based_top(s: SparkSession, d: str) -> DataFrame:
     return recommend.item_based(split(tables.ratings_of_customers(s, d))[0], CFParams(0.01, top_n=2))
 
 
+@query
+def recommend_item_based_one(s: SparkSession, d: str) -> DataFrame:
+    return recommend.item_based(split(tables.ratings_of_customers(s, d))[0], CFParams(0.01), target=1)
+
+
 @query
 def recommend_mean_centred(s: SparkSession, d: str) -> DataFrame:
     return recommend.mean_centred(split(tables.ratings_of_suppliers(s, d))[0], CFParams(0.2))
@@ -370,6 +381,20 @@ def evaluate_item_based(s: SparkSession, d: str) -> DataFrame:
     return evaluate.errors(recommend.item_based(train, CFParams(0.01)), test, train, "score")
 
 
+@query
+def evaluate_hybrid(s: SparkSession, d: str) -> DataFrame:
+    train, test = split(tables.ratings_of_suppliers(s, d))
+    train = train.persist()
+    return evaluate.errors(recommend.hybrid(recommend.user_based(train, CFParams(0.2)), recommend.item_based(train, CFParams(0.02)), 0.6), test, train)
+
+
+@query
+def evaluate_rule_based(s: SparkSession, d: str) -> DataFrame:
+    train, test = split(tables.ratings_of_suppliers(s, d))
+    train = train.persist()
+    return evaluate.errors(recommend.rule_based(train, _rating_rules(train)), test, train)
+
+
 @query
 def grid_search(s: SparkSession, d: str) -> DataFrame:
     train, test = split(tables.ratings_of_suppliers(s, d))
