@@ -22,7 +22,6 @@ def grid_search(by_users: DataFrame, by_items: DataFrame, test: DataFrame, train
     """
     known = test.join(train.select("user_id").distinct(), "user_id", "left_semi")
     spark = test.sparkSession
-    grid = spark.createDataFrame([(float(a),) for a in alphas], "alpha double")
     u = by_users.select("user_id", "item_id", "user_threshold", F.col("raw").alias("u"))
     i = by_items.select("user_id", "item_id", "item_threshold", F.col("raw").alias("i"))
     hit = known.join(u, ["user_id", "item_id"]).join(i, ["user_id", "item_id"]).withColumn("alpha", F.explode(F.array(*map(F.lit, map(float, alphas)))))
@@ -30,6 +29,8 @@ def grid_search(by_users: DataFrame, by_items: DataFrame, test: DataFrame, train
     found = hit.groupBy("user_threshold", "item_threshold", "alpha").agg(F.sum(gain).alias("gain"))
     # without a prediction a rating is wrong by itself: start from there and add what predictions change
     base = known.agg(F.sum(F.abs("score")).alias("all"), F.count("*").alias("n")).first()
-    thresholds = u.select("user_threshold").distinct().join(i.select("item_threshold").distinct(), F.lit(True)).join(grid, F.lit(True))
-    out = thresholds.join(found, ["user_threshold", "item_threshold", "alpha"], "left")
+    # the grid is as large as its parameters
+    first, second = (sorted(r[0] for r in rows.select(c).distinct().collect()) for rows, c in ((u, "user_threshold"), (i, "item_threshold")))
+    grid = spark.createDataFrame([(float(x), float(y), float(a)) for x in first for y in second for a in alphas], "user_threshold double, item_threshold double, alpha double")
+    out = grid.join(found, ["user_threshold", "item_threshold", "alpha"], "left")
     return out.select("user_threshold", "item_threshold", "alpha", F.round((F.lit(base["all"] or 0.0) + F.coalesce("gain", F.lit(0.0))) / max(1, base["n"]), 6).alias("mae"))
