@@ -24,10 +24,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm.common import bounded_batches, materialize, slices, text_bytes
@@ -66,13 +68,15 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def text_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500, max_languages: int = 32) -> TextModel:
-    """Learn from at most ``per_language`` rows of each of the ``max_languages`` most frequent languages."""
+    """Learn from a sample of about ``per_language`` ids of each of the ``max_languages`` most frequent languages."""
     bounded_batches(labelled.sparkSession)
     known = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    names = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    names.sort()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = known.filter(F.col("lang").isin(names)).select("id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language).select("id", "lang").distinct()
+    found = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    names = sorted(r["lang"] for r in found)
+    # a row is taken if its id hashes into its language's share of 2^31 values: all rows of a rare one
+    share = {r["lang"]: min(1.0, per_language / r["count"]) for r in found}
+    taken = [(F.col("lang") == lang) & (F.pmod(F.xxhash64("id"), F.lit(1 << 31)) < int(part * (1 << 31))) for lang, part in share.items()]
+    chosen = known.filter(reduce(or_, taken, F.lit(False)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -87,13 +91,14 @@ def text_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "bucket": pa.array(at, pa.int32()), "n": pa.array(n[at], pa.int64())})
 
-    # the chosen rows are a bounded number, and so are the counts: languages times buckets
-    rows = known.join(F.broadcast(chosen), ["id", "lang"]).select("lang", "text").mapInArrow(count, "lang string, bucket int, n long")
+    # what comes to the driver is languages times buckets at most
+    rows = chosen.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long")
     counts = np.zeros((len(names), BUCKETS))
     for r in rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
         counts[names.index(r["lang"]), r["bucket"]] = r["n"]
-    counts = counts + 0.5
-    logs = np.log(counts / counts.sum(axis=1, keepdims=True)) if names else np.zeros((0, BUCKETS))
+    shares = counts / np.maximum(1, counts.sum(axis=1, keepdims=True))
+    # a tenth of each language's probability is spread evenly, for names, numbers and foreign words
+    logs = np.log(0.9 * shares + 0.1 / BUCKETS)
     return TextModel(names, np.concatenate([logs, np.full((1, BUCKETS), -np.log(BUCKETS))]))
 
 
@@ -125,15 +130,6 @@ def _sums(rows: DataFrame, keys: list[str], column: str, width: int, name: str)
     return rows.groupBy(*keys).agg(F.array(*(F.sum(F.col(column)[k]) for k in range(width))).alias(name))
 
 
-def _plus(a: Column, b: Column, weight: float = 1.0) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + weight * y)
-
-
-def _normal(a: Column) -> Column:
-    total = F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(a, lambda x: x / total)
-
-
 def identify(rows: DataFrame, model: TextModel, temper: float = 0.25, least: float = 0.5, host_weight: float = 5.0, domain_weight: float = 10.0, declared_weight: float = 20.0, agreement: float = 0.8, suffix_weight: float = 20.0) -> DataFrame:
     """id, text_language (by the text alone), language, confidence, accepted for rows of
     id, text, declared, suffix, domain, host."""
@@ -147,34 +143,40 @@ def identify(rows: DataFrame, model: TextModel, temper: float = 0.25, least: flo
     hosts = materialize(_sums(seen, ["domain", "host"], "soft", width, "of_host"), "hosts")
     domains = _sums(hosts, ["domain"], "of_host", width, "of_domain")
     # one row: what the domains sum to, which is also each language's total
-    sums = [x or 0.0 for x in _sums(domains, [], "of_domain", width, "of_all").first()["of_all"]]
-    of_language = F.array(*map(F.lit, sums))
-    of_all = F.array(*(F.lit((x + 1) / (sum(sums) + width)) for x in sums))
+    sums = np.asarray([x or 0.0 for x in _sums(domains, [], "of_domain", width, "of_all").first()["of_all"]])
     hosts = hosts.join(domains, "domain")
     declared = _sums(seen, ["declared"], "soft", width, "of_declared")
     suffixes = _sums(seen, ["suffix"], "soft", width, "of_suffix")
-    agree = F.array(*(F.when(F.col("declared") == n, F.lit(agreement)).otherwise(F.lit((1 - agreement) / max(1, width - 1))) for n in names))
-    # a declared value that names none of the languages, or none at all, tells nothing by itself
-    told = F.when(F.col("declared").isin(*names), agree).otherwise(F.array(*[F.lit(1.0 / width)] * width))
-    declared = declared.select("declared", F.transform(_over(_plus(F.col("of_declared"), told, declared_weight), of_language, declared_weight), lambda x: F.log(x)).alias("log_declared"))
-    declared = declared.withColumn("log_declared", F.when(F.col("declared") == "", F.array(*[F.lit(0.0)] * width)).otherwise(F.col("log_declared")))
-    every = F.aggregate("of_suffix", F.lit(0.0), lambda s, x: s + x) / max(1e-9, sum(sums))
-    suffixes = suffixes.select("suffix", F.transform(_over(F.transform("of_suffix", lambda x: x + suffix_weight * every), of_language, suffix_weight), lambda x: F.log(x)).alias("log_suffix"))
-    rows = seen.join(hosts, ["domain", "host"]).join(declared, "declared").join(suffixes, "suffix")
-    rest = lambda c: F.zip_with(F.col(c), F.col("soft"), lambda n, own: F.greatest(F.lit(0.0), n - own))
-    of_domain = _normal(_plus(rest("of_domain"), of_all, domain_weight))
-    rows = rows.withColumn("prior", of_domain).withColumn("prior", _normal(_plus(rest("of_host"), F.col("prior"), host_weight)))
-    logs = _plus(_plus(_plus(F.col("log"), F.transform("prior", lambda x: F.log(x))), F.col("log_declared")), F.col("log_suffix"))
-    rows = rows.withColumn("logs", logs).withColumn("posterior", _normal(F.transform("logs", lambda x: F.exp(x - F.array_max("logs")))))
-    called = F.array(*map(F.lit, names))
-    best = lambda c: called[(F.array_position(F.col(c), F.array_max(c)) - 1).cast("int")]
-    out = rows.select("id", F.when(F.col("letters") > 0, best("soft")).otherwise(F.lit(UNKNOWN)).alias("text_language"), best("posterior").alias("language"), F.array_max("posterior").alias("confidence"), "letters")
-    accepted = (F.col("language") != UNKNOWN) & (F.col("confidence") >= least) & (F.col("letters") > 0)
-    return out.select("id", "text_language", "language", "confidence", accepted.alias("accepted"))
-
-
-def _over(a: Column, totals: Column, weight: float) -> Column:
-    return F.zip_with(a, totals, lambda x, n: x / (n + weight))
+    given = seen.join(hosts, ["domain", "host"]).join(declared, "declared").join(suffixes, "suffix").select("id", "declared", "letters", "log", "soft", "of_host", "of_domain", "of_declared", "of_suffix")
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        called = np.asarray(names, dtype=object)
+        for batch in batches:
+            n = batch.num_rows
+            value = {c: batch.column(c).flatten().to_numpy().reshape(n, width) for c in ("log", "soft", "of_host", "of_domain", "of_declared", "of_suffix")}
+            everywhere = (sums + 1) / (sums.sum() + width)
+            by_domain = np.maximum(0, value["of_domain"] - value["soft"]) + domain_weight * everywhere
+            by_domain /= by_domain.sum(axis=1, keepdims=True)
+            by_host = np.maximum(0, value["of_host"] - value["soft"]) + host_weight * by_domain
+            by_host /= by_host.sum(axis=1, keepdims=True)
+            said = np.asarray(batch.column("declared").to_pylist(), dtype=object)
+            # a declared value that names no language agrees with all of them alike
+            agree = np.where(said[:, None] == called[None, :], agreement, (1 - agreement) / max(1, width - 1))
+            agree[~np.isin(said, called)] = 1 / width
+            of_declared = np.log((value["of_declared"] + declared_weight * agree) / (sums + declared_weight))
+            of_declared[said == ""] = 0
+            usual = value["of_suffix"].sum(axis=1, keepdims=True) / max(1e-9, sums.sum())
+            of_suffix = np.log((value["of_suffix"] + suffix_weight * usual) / (sums + suffix_weight))
+            total = value["log"] + np.log(by_host) + of_declared + of_suffix
+            posterior = np.exp(total - total.max(axis=1, keepdims=True))
+            posterior /= posterior.sum(axis=1, keepdims=True)
+            letters = batch.column("letters").to_numpy()
+            language, confidence = called[posterior.argmax(axis=1)], posterior.max(axis=1)
+            by_text = np.where(letters > 0, called[value["soft"].argmax(axis=1)], UNKNOWN)
+            accepted = (language != UNKNOWN) & (confidence >= least) & (letters > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(by_text.tolist(), pa.string()), pa.array(language.tolist(), pa.string()), pa.array(confidence), pa.array(accepted.astype(bool))], ["id", "text_language", "language", "confidence", "accepted"])
+
+    return given.mapInArrow(fuse, f"id {given.schema['id'].dataType.simpleString()}, text_language string, language string, confidence double, accepted boolean")
 
 
 def page_rows(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
