@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,16 +20,27 @@ _IN_WORD = np.ones(256, dtype=bool)
 _IN_WORD[list(WORD_BREAKS)] = False
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_STRETCH = 1 << 18
+_own_dirs: dict[str, str] = {}
 _powers = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64)}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where none is named, which is an error on a cluster, local sessions get a temporary folder of
+    their own, removed at exit.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="basketry-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    if base:
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if spark.sparkContext.applicationId not in _own_dirs:
+        _own_dirs[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="basketry-")
+        atexit.register(shutil.rmtree, _own_dirs[spark.sparkContext.applicationId], ignore_errors=True)
+    return _own_dirs[spark.sparkContext.applicationId]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -52,7 +65,7 @@ def text_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each slice has at most ``limit`` bytes of text, or one row."""
     import pyarrow.compute as pc
 
@@ -74,11 +87,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _power(kind: str, n: int) -> np.ndarray:
-    if len(_powers[kind]) < n:
-        steps = np.full(n, _BASE if kind == "up" else _BASE_INVERSE, dtype=np.uint64)
-        steps[0] = 1
-        _powers[kind] = np.multiply.accumulate(steps)
-    return _powers[kind][:n]
+    if len(_powers[kind]) >= n:
+        return _powers[kind][:n]
+    steps = np.full(max(n, 1), _BASE if kind == "up" else _BASE_INVERSE, dtype=np.uint64)
+    steps[0] = 1
+    steps = np.multiply.accumulate(steps)
+    if n <= _STRETCH:  # longer ones are rare, and not kept
+        _powers[kind] = steps
+    return steps
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -121,11 +137,26 @@ class Words:
 
 
 def span_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, the same wherever the span stands."""
+    """64-bit hashes of byte spans (ascending, apart), the same wherever the span stands.
+
+    Works on stretches of about ``_STRETCH`` bytes, so that what it allocates does not grow with
+    the text, unless one span is longer.
+    """
+    out = np.empty(len(start), dtype=np.uint64)
+    i = 0
+    while i < len(start):
+        lo = int(start[i])
+        j = max(i + 1, int(np.searchsorted(end, lo + _STRETCH, side="right")))
+        out[i:j] = _hash_stretch(raw[lo : int(end[j - 1])], start[i:j] - lo, end[i:j] - lo)
+        i = j
+    return out
+
+
+def _hash_stretch(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     n = len(raw)
     total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power("up", n)[:n] if n else total[1:], out=total[1:])
-    return mix((total[end] - total[start]) * _power("down", n + 1)[start] + (end - start).astype(np.uint64))
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power("up", n), out=total[1:])
+    return mix((total[end] - total[start]) * _power("down", n)[start] + (end - start).astype(np.uint64))
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -57,7 +57,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All tokens of the remaining documents, in sequences."""
-    return best_fit_packing.packing(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # a worker still holds what earlier stages left in it, so its cache is smaller than by default
+    return best_fit_packing.packing(docs, public_tokenizers.path("word_bpe_49k.json"), cache_entries=300_000)
 
 
 STAGES = [
