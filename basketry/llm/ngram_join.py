@@ -162,6 +162,20 @@ def _by_group(batches: Iterator[pa.RecordBatch], solve: Callable[[pa.Table], pa.
         yield out
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each run of one g and set_id: repeated rows of one document come together."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        g, node = batch.column("g").to_numpy(), batch.column("set_id").to_numpy()
+        fresh = np.ones(len(g), dtype=bool)
+        fresh[1:] = (g[1:] != g[:-1]) | (node[1:] != node[:-1])
+        fresh[0] = (g[0], node[0]) != last
+        last = (g[-1], node[-1])
+        yield batch.filter(pa.array(fresh))
+
+
 def _tasks(members: DataFrame, group: str, node: str) -> DataFrame:
     """A row of ``members`` (with ``blocks``, of its group) for each pair of blocks that its block is in: g, side."""
     cut = members.withColumn("own", F.pmod(F.xxhash64(F.col(node), F.lit(5)), F.col("blocks")).cast("int"))
@@ -217,10 +231,7 @@ def verified_links(docs: DataFrame, homes: DataFrame, id_col: str, text_col: str
     tasks = _tasks(texts, "root", "set_id").select("g", "side", "set_id", "copies", "text")
 
     def solve(held: pa.Table) -> pa.RecordBatch | None:
-        first = np.ones(held.num_rows, dtype=bool)  # repeated rows of one document come together
-        g, node = held.column("g").to_numpy(), held.column("set_id").to_numpy()
-        first[1:] = (g[1:] != g[:-1]) | (node[1:] != node[:-1])
-        held = held.filter(pa.array(first)).combine_chunks()
+        held = held.combine_chunks()
         g, side, node, copies = (held.column(c).to_numpy() for c in ("g", "side", "set_id", "copies"))
         column = held.column("text")
         grams, bounds = gram_sets(column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks), size)
@@ -242,7 +253,7 @@ def verified_links(docs: DataFrame, homes: DataFrame, id_col: str, text_col: str
         return pa.RecordBatch.from_pydict({"set_id": pa.array(node[linked]), "n_links": pa.array(links[linked]), "root": pa.array(node[root[linked]])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        small = (part for batch in batches for part in slices(batch, "text"))
+        small = (part for batch in _once(batches) for part in slices(batch, "text"))
         yield from _by_group(small, solve, lambda b: b.column("text").nbytes)
 
     return tasks.repartition("g").sortWithinPartitions("g", "set_id").mapInArrow(run, "set_id long, n_links long, root long")
@@ -281,7 +292,7 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     signed = materialize(signatures(docs, id_col, text_col, size, bands, rows), "signatures")
     reps = signed.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low_id"), F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "pick")).alias("low"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("n_grams").alias("n_grams"))
     reps = materialize(reps.withColumn("pick", F.col("low.pick")), "sets")
-    met = materialize(connected_components(candidate_forest(reps, threshold, tolerance, bands, rows)), "met")
+    met = connected_components(candidate_forest(reps, threshold, tolerance, bands, rows))
     homes = met.withColumnRenamed("node", "set_id").join(reps.select("set_id", "copies", "pick", "n_grams"), "set_id")
     many = homes.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     homes = homes.join(many, "root").select("pick", "set_id", "copies", "root", "blocks")
@@ -299,3 +310,15 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 4, tolerance: float = 1e-6) -> DataFrame:
     """doc_id, class_id, n_links for every row: its class's least id, and how many other rows are similar to it."""
     return ngram_classes(docs, id_col, text_col, size, threshold, bands, rows, tolerance).select("doc_id", "class_id", "n_links")
+
+
+def oracle(docs: str, size: int = 5, threshold: float = 0.8) -> str:
+    """DuckDB SQL for ngram_join(docs), over all pairs that share an n-gram; ``docs`` is a table."""
+    return rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM {docs}),
+g AS (SELECT DISTINCT r, unnest(list_transform(range(1, greatest(len(w) - {size - 1}, 1) + 1), lambda i: array_to_string(w[i:i + {size - 1}], ' '))) AS gram FROM d WHERE len(w) > 0),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT x.r AS a, y.r AS b, count(*) AS shared FROM g x JOIN g y ON x.gram = y.gram AND x.r <> y.r GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE shared >= {threshold} * (na.n + nb.n - shared) - 1e-9),
+c AS (SELECT r, r AS other FROM d UNION SELECT c.r, l.b FROM c JOIN l ON l.a = c.other)
+SELECT d.doc_id, (SELECT min(o.doc_id) FROM c JOIN d o ON o.r = c.other WHERE c.r = d.r) AS class_id, (SELECT count(*) FROM l WHERE l.a = d.r) AS n_links FROM d"""
