@@ -30,7 +30,7 @@ from basketry.llm.common import bounded_batches, slices, text_of
 from basketry.llm.token_counts import PRE_TOKENS
 
 LONG = 48
-_WORDS_A_QUERY = 40_000
+_WORDS_A_QUERY = 60_000
 
 #: One pair a step: the leftmost of least rank. State rows keep their first byte's position.
 _CONTRACT = """
@@ -46,8 +46,8 @@ WITH RECURSIVE state AS (
     SELECT word, pos, CASE WHEN pos = (best & 4294967295) THEN (best >> 32)::INT ELSE token END, step + 1
     FROM pairs JOIN least USING (word)
     WHERE before IS DISTINCT FROM (best & 4294967295)))
-SELECT word, token FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM state)
-WHERE step = last ORDER BY word, pos
+SELECT word, token FROM state JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) USING (word, step)
+ORDER BY word, pos
 """
 
 #: The same for long words, at all places of the least pair; in a run of overlapping places every other one.
@@ -72,8 +72,8 @@ WITH RECURSIVE state AS (
     LEFT JOIN chosen c ON c.word = p.word AND c.n = p.n
     LEFT JOIN chosen g ON g.word = p.word AND g.n = p.n - 1
     WHERE g.n IS NULL))
-SELECT word, token FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM state)
-WHERE step = last ORDER BY word, pos
+SELECT word, token FROM state JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) USING (word, step)
+ORDER BY word, pos
 """
 
 #: Bytes stand for the characters U+0000 to U+00FF while they are strings in DuckDB.
@@ -91,7 +91,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Encoder and decoder of one worker."""
 
-    def __init__(self, path: str, cache_entries: int = 1_000_000, memory_mb: int = 256) -> None:
+    def __init__(self, path: str, cache_entries: int = 1_400_000, memory_mb: int = 256) -> None:
         import duckdb
         import regex
 
@@ -166,7 +166,7 @@ class Codec:
         return out
 
 
-def codec(path: str, cache_entries: int = 1_000_000) -> Codec:
+def codec(path: str, cache_entries: int = 1_400_000) -> Codec:
     """This worker's codec for a rank file."""
     key = (path, cache_entries)
     if key not in _codecs:
@@ -175,13 +175,13 @@ def codec(path: str, cache_entries: int = 1_000_000) -> Codec:
     return _codecs[key]
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", cache_entries: int = 1_000_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", cache_entries: int = 1_400_000) -> DataFrame:
     """doc_id, ids (array of ints): the tokens of every row's text."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text"):
                 coded = codec(path, cache_entries).encode(part.column("text").to_pylist())
                 flat = pa.array(np.frombuffer(b"".join(coded), dtype="<u4").astype(np.int32))
                 cuts = pa.array(np.cumsum([0, *(len(c) // 4 for c in coded)]), pa.int32())
@@ -191,7 +191,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
-def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids", cache_entries: int = 1_000_000) -> DataFrame:
+def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids", cache_entries: int = 1_400_000) -> DataFrame:
     """doc_id, data (binary): the bytes of every row's ids; null ids stand for none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,13 +205,13 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, data binary")
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", cache_entries: int = 1_000_000) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", cache_entries: int = 1_400_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encode every text, decode the ids, digest both, in one pass."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text"):
                 own = codec(path, cache_entries)
                 coded = own.encode(part.column("text").to_pylist())
                 columns = [part.column("doc_id"), pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array([hashlib.sha256(own.decimals(c).encode()).hexdigest() for c in coded]), pa.array([hashlib.sha256(d).hexdigest() for d in own.decode(coded)])]
