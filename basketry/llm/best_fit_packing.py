@@ -4,9 +4,10 @@ Documents become pieces of at most ``capacity`` tokens on the map side; only lon
 cut. Pieces are dealt by a hash of their keys into groups of bounded size, which are packed
 independently, so a hot source or a group of copies spreads over all groups and no task ever
 sees more than about ``group_pieces`` pieces. Each group starts from best-fit decreasing; then a
-local search moves single documents, exchanges one for one, and exchanges two for one between
-underfull bins whenever that raises the sum of squared fills, so that weak bins drain until they
-are empty and disappear.
+local search moves documents, one or two at a time, and exchanges one for one, two for one and one
+for two between any two underfull bins whenever that raises the sum of squared fills, so that weak
+bins drain until they are empty and disappear. It ends when a group has as few bins as there can
+be, or when no such step is left.
 
 Defined results: null text is empty and still gives one piece that holds only the end token; a
 null id is packed like any other; repeated rows are packed once each; other columns are ignored.
@@ -158,69 +159,130 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int, rounds: int = 4, window: int = 32) -> list[list[int]]:
-    """Raise the sum of squared fills by moves, 1-1 and 2-1 exchanges until bins empty or nothing improves.
+class _Search:
+    """Bins under local search: what each can give, indexed so that a source meets all targets at once.
 
-    Works on underfull bins from the emptiest up. Each in turn is a source whose documents go to
-    fuller bins: outright where they fit, else in exchange for one or two smaller documents that
-    a fuller bin gives back. Every step moves fill from a less full to a fuller bin, so the sum
-    of squares rises strictly and the search ends; ``rounds`` bounds its length, ``window`` the
-    number of fuller bins that a source tries.
+    A give is what a bin hands back: nothing, one piece or two, known by its length alone, so a bin
+    of many small pieces has no more gives than there are lengths up to the capacity. Gives of all
+    underfull bins lie in one list that only grows at its end: a bin that changes voids its old gives
+    and adds new ones. So a source that found no step has to look at later gives alone.
     """
-    if len(bins) * capacity < int(lengths.sum()) + capacity:
-        return bins  # as few as there can be
-    size = lengths.tolist()
-    fill = [sum(size[i] for i in b) for b in bins]
-    for _ in range(rounds):
-        changed = False
-        open_ = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: fill[b])
-        for at, source in enumerate(open_[:window]):
-            if not fill[source]:
-                continue
-            for target in open_[: at : -1][:window]:
-                if fill[target] < fill[source] or fill[target] == capacity:
-                    continue
-                changed |= _improve(size, bins, fill, source, target, capacity)
-                if not fill[source]:
-                    break
-        if not changed:
-            break
-    return [b for b in bins if b]
-
-
-def _improve(size: list[int], bins: list[list[int]], fill: list[int], source: int, target: int, capacity: int) -> bool:
-    """Apply the step between two bins that fills the target most; true if one was found."""
-    free = capacity - fill[target]
-    mine, theirs = bins[source], bins[target]
-    best, step = 0, None
-    for a in mine:
-        if best < size[a] <= free:
-            best, step = size[a], ((a,), ())
-    for a in mine:  # one for one
-        for b in theirs:
-            if best < size[a] - size[b] <= free:
-                best, step = size[a] - size[b], ((a,), (b,))
-    if best < free and len(mine) <= 32 and len(theirs) <= 32:
-        for i, a in enumerate(mine):  # two for one
-            for a2 in mine[:i]:
-                if best < size[a] + size[a2] <= free:
-                    best, step = size[a] + size[a2], ((a, a2), ())
-                for b in theirs:
-                    if best < size[a] + size[a2] - size[b] <= free:
-                        best, step = size[a] + size[a2] - size[b], ((a, a2), (b,))
-        for i, b in enumerate(theirs):  # one for two
-            for b2 in theirs[:i]:
-                for a in mine:
-                    if best < size[a] - size[b] - size[b2] <= free:
-                        best, step = size[a] - size[b] - size[b2], ((a,), (b, b2))
-    if step is None:
-        return False
-    gone, back = step
-    bins[source] = [x for x in mine if x not in gone] + list(back)
-    bins[target] = [x for x in theirs if x not in back] + list(gone)
-    fill[source] -= best
-    fill[target] += best
-    return True
+
+    def __init__(self, lengths: np.ndarray, bins: list[list[int]], capacity: int) -> None:
+        self.capacity = capacity
+        self.size = lengths.tolist()
+        self.bins = [list(b) for b in bins]
+        self.fill = np.asarray([sum(self.size[i] for i in b) for b in bins] + [capacity], dtype=np.int64)  # the last is of void gives
+        self.seen = [0] * len(bins)
+        self.places: list[tuple[int, int]] = [(0, 0)] * len(bins)
+        self.owner, self.back, self.pair = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.end = self.void = 0
+        for b in range(len(bins)):
+            self._list(b)
+
+    def _sums(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths of a bin's pieces, and of all its twos."""
+        own, count = np.unique([self.size[i] for i in self.bins[b]], return_counts=True)
+        first, second = np.triu_indices(len(own), 1)
+        return own, np.unique(np.concatenate([own[first] + own[second], 2 * own[count > 1]]))
+
+    def _list(self, b: int) -> None:
+        """Put a bin's gives at the end of the list, in place of those it had."""
+        at, until = self.places[b]
+        self.owner[at:until] = len(self.bins)
+        self.void += until - at
+        self.places[b], self.seen[b] = (self.end, self.end), 0
+        if not 0 < self.fill[b] < self.capacity:
+            return
+        one, two = self._sums(b)
+        more = 1 + len(one) + len(two)
+        if self.end + more > len(self.owner):
+            if self.void > self.end // 2:
+                self._drop_void()
+            if self.end + more > len(self.owner):
+                self.owner, self.back, self.pair = (np.concatenate([x, np.zeros(len(x) + more, np.int64)]) for x in (self.owner, self.back, self.pair))
+        at, until = self.end, self.end + more
+        self.owner[at:until], self.back[at], self.pair[at:until] = b, 0, 0
+        self.back[at + 1 : at + 1 + len(one)], self.back[at + 1 + len(one) : until], self.pair[at + 1 + len(one) : until] = one, two, 1
+        self.places[b], self.end = (at, until), until
+
+    def _drop_void(self) -> None:
+        kept = np.flatnonzero(self.owner[: self.end] < len(self.bins))
+        at = lambda x: int(np.searchsorted(kept, x))
+        self.seen = [at(x) for x in self.seen]
+        self.places = [(at(x), at(y)) for x, y in self.places]
+        for rows in (self.owner, self.back, self.pair):
+            rows[: len(kept)] = rows[kept]
+        self.end, self.void = len(kept), 0
+
+    def improve(self, source: int) -> bool:
+        """Apply the source's step that raises the sum of squared fills most; false if no step raises it."""
+        since = self.seen[source]
+        if since == self.end:
+            return False
+        one, two = self._sums(source)
+        most = np.zeros((2, self.capacity + 1), np.int64)  # the most that goes into so much room: of up to two pieces, of one
+        most[:, one] = one
+        most[0, two] = two
+        np.maximum.accumulate(most, axis=1, out=most)
+        owner, back, pair = self.owner[since : self.end], self.back[since : self.end], self.pair[since : self.end]
+        fuller = self.fill - self.fill[source]
+        fuller[source] = fuller[-1] = -2 * self.capacity
+        net = most[pair, (self.capacity - self.fill)[owner] + back] - back
+        rise = np.where(net > 0, net * (fuller[owner] + net), 0)
+        best = int(rise.argmax())
+        if rise[best] <= 0:
+            self.seen[source] = self.end
+            return False
+        target, given, taken = int(owner[best]), int(back[best]), int(back[best] + net[best])
+        out = self._pieces(source, taken, 2 - int(pair[best]))
+        returned = self._pieces(target, given, 2) if given else []
+        self.bins[source] = [x for x in self.bins[source] if x not in out] + returned
+        self.bins[target] = [x for x in self.bins[target] if x not in returned] + out
+        self.fill[source] -= net[best]
+        self.fill[target] += net[best]
+        self._list(source)
+        self._list(target)
+        return True
+
+    def _pieces(self, b: int, length: int, most: int) -> list[int]:
+        """One piece of that length in a bin, or else two."""
+        at: dict[int, int] = {}
+        for i in self.bins[b]:
+            if self.size[i] == length:
+                return [i]
+        for i in self.bins[b]:
+            if most == 2 and length - self.size[i] in at:
+                return [at[length - self.size[i]], i]
+            at.setdefault(self.size[i], i)
+        raise AssertionError("a step of pieces that are not there")
+
+
+def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int, rounds: int | None = None) -> list[list[int]]:
+    """Raise the sum of squared fills by moves, 1-1, 2-1 and 1-2 exchanges until there are as few bins as there can be or no step improves.
+
+    From the emptiest up, each underfull bin is a source whose documents go to any other underfull
+    bin: one or two outright where they fit, else in exchange for one or two smaller documents
+    that the other gives back. The step that raises the sum most is taken. It rises strictly, so
+    the search ends; where it ends above the least number of bins, no such step between any two
+    bins is left. ``rounds`` bounds the passes over all bins if it is given.
+    """
+    least = -(-int(lengths.sum()) // capacity)
+    live = sum(1 for b in bins if b)
+    if live <= least:
+        return [b for b in bins if b]
+    search = _Search(lengths, bins, capacity)
+    changed = True
+    while changed and rounds != 0:
+        changed, rounds = False, None if rounds is None else rounds - 1
+        for source in np.argsort(search.fill[:-1], kind="stable").tolist():
+            while 0 < search.fill[source] < capacity and search.improve(source):
+                changed = True
+            if not search.fill[source] and bins[source] and not search.bins[source]:
+                live = sum(1 for b in search.bins if b)
+                if live <= least:
+                    return [b for b in search.bins if b]
+    return [b for b in search.bins if b]
 
 
 def pack(parts: DataFrame, capacity: int = 4096, group_pieces: int = 8192) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import zlib
 
 import numpy as np
@@ -111,6 +112,36 @@ def test_local_search_never_loses_or_overfills():
         assert len(found) <= len(bins) and max(lengths[b].sum() for b in found) <= 100
 
 
+def steps_left(lengths, bins, capacity):
+    """Moves and exchanges of up to two for one or one for two that would raise the sum of squared fills."""
+    fills = [sum(int(lengths[i]) for i in b) for b in bins]
+    for s, t in itertools.permutations([k for k, f in enumerate(fills) if 0 < f < capacity], 2):
+        some = lambda b: [(n, sum(int(lengths[i]) for i in c)) for n in (0, 1, 2) for c in itertools.combinations(bins[b], n)]
+        for (n, a), (m, b) in itertools.product(some(s), some(t)):
+            if n and n + m < 4 and 0 < a - b <= capacity - fills[t] and fills[t] - fills[s] + a - b > 0:
+                yield s, t, a, b
+
+
+@pytest.mark.parametrize("low,high,n,capacity", [(20, 60, 60, 100), (30, 50, 90, 100), (1, 9, 60, 60)])
+def test_local_search_leaves_no_step(low, high, n, capacity):
+    for seed in range(6):
+        lengths = np.random.default_rng(seed).integers(low, high, n)
+        found = best_fit_packing.local_search(lengths, best_fit_packing.best_fit(lengths, capacity), capacity)
+        assert sorted(i for b in found for i in b) == list(range(n)) and max(lengths[b].sum() for b in found) <= capacity
+        assert len(found) == -(-int(lengths.sum()) // capacity) or not list(steps_left(lengths, found, capacity))
+
+
+def test_local_search_tries_all_bins():
+    lengths = np.random.default_rng(1).integers(600, 1601, 3000)
+    start = best_fit_packing.best_fit(lengths, 4096)
+    least = -(-int(lengths.sum()) // 4096)
+    assert len(start) > least + 20
+    assert len(best_fit_packing.local_search(lengths, start, 4096)) == least
+    # more than 32 documents a bin: the 6 goes in for a 2 and the 1, and these fit elsewhere
+    many = np.asarray([*[2] * 40, 1, *[2] * 40, 1, 6])
+    assert len(best_fit_packing.local_search(many, [[*range(41)], [*range(41, 82)], [82]], 84)) == 2
+
+
 @pytest.mark.parametrize("operator", [lambda d: token_counts.token_counts(d, P.path("byte_bpe_50k.json")), lambda d: byte_bpe.round_trip(d, P.path("byte_bpe_50k.tiktoken")), lambda d: best_fit_packing.packing(d, P.path("word_bpe_49k.json"))])
 def test_empty_table(docs, operator):
     assert operator(docs.filter("false")).collect() == []
