@@ -2,8 +2,8 @@
 
 Templates fall into classes of like length. A class with templates of up to L words cuts every
 document into windows of L + s - 1 words, one each s words (s is a quarter of L, 1 at least), so
-that any L words in a row lie whole in some window. A window's shingles (five words in a row) have
-a least Jaccard similarity J with a template that they contain to ``containment``; the number of
+that any L words in a row lie whole in some window. A window's shingles (five words in a row, or all
+words of a shorter template) have a least Jaccard similarity J with a template that they contain to ``containment``; the number of
 bands of one MinHash value each is the least for which a pair of similarity J meets in a band with
 a probability of ``certainty`` or more. Windows and templates that meet are verified by the exact
 share of the template's shingles that the window holds.
@@ -14,7 +14,8 @@ the templates is a fixed number of literals in the plan. Everything is DataFrame
 scan, a join with the templates' bands (some hundreds of rows), and an aggregate by document and
 license that is partial on the map side.
 
-Words are runs of a-z and 0-9 in the lower-case text. Templates have at least five words.
+Words are runs of a-z and 0-9 in the lower-case text. A template of fewer than five words has one
+shingle, so it is found where its words stand in a row.
 
 Defined results: null and empty texts have no notice; a null id is one document; rows that repeat
 an id are taken together, one result per id and license; other columns are ignored.
@@ -60,13 +61,37 @@ TEMPLATES = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("BSD", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
+    ("LGPL", "SPDX-License-Identifier: LGPL-2.1"),
+    ("LGPL", "SPDX-License-Identifier: LGPL-3.0"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("EPL-2.0", "SPDX-License-Identifier: EPL-2.0"),
+    ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
+    ("CC-BY-4.0", "SPDX-License-Identifier: CC-BY-4.0"),
+    ("CC-BY-SA-4.0", "SPDX-License-Identifier: CC-BY-SA-4.0"),
+    ("CC-BY-NC-4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"),
+    ("CC-BY-ND-4.0", "SPDX-License-Identifier: CC-BY-ND-4.0"),
+    ("CC-BY-NC-SA-4.0", "SPDX-License-Identifier: CC-BY-NC-SA-4.0"),
     ("proprietary", "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means"),
 ]
 
+#: Notices of fewer than five words. The first also stands in copyright lines of public licenses, so it has a name of its own.
+SHORT_TEMPLATES = [
+    ("all-rights-reserved", "All rights reserved."),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("Unlicense", "SPDX-License-Identifier: Unlicense"),
+]
+
 #: Words that stand in most texts, which make poor anchors.
 EVERYDAY = {"a", "all", "an", "and", "any", "are", "as", "at", "be", "but", "by", "can", "for", "from", "have", "if", "in", "is", "it", "may", "no", "not", "of", "on", "or", "that", "the", "these", "this", "to", "use", "was", "with", "you"}
 
-#: Lengths in words up to which templates share a class.
+#: Lengths in words up to which templates share a class; templates of one shingle are a class of their own.
 CLASSES = (5, 6, 7, 8, 10, 12, 16, 20, 24, 32, 40, 48, 64, 80, 96, 128, 160, 192, 256, 384, 512, 768, 1024)
 
 
@@ -134,67 +159,85 @@ def _classes(templates: list[tuple[str, str]], size: int, containment: float, ce
         n = len(re.findall("[a-z0-9]+", text.lower()))
         if n < size:
             raise ValueError(f"template {k} has {n} words; {size} are needed")
-        groups.setdefault(next((c for c in CLASSES if c >= n), n), []).append((n, k, name, text))
+        groups.setdefault(n if n == size else next((c for c in CLASSES if c >= n), n), []).append((n, k, name, text))
     return [(length, bands_needed(length, min(g)[0], size, containment, certainty), [x[1:] for x in g]) for length, g in sorted(groups.items())]
 
 
-def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", size: int = 5, containment: float = 0.8, certainty: float = 0.99999) -> DataFrame:
+def _by_size(templates: list[tuple[str, str]], size: int) -> dict[int, list[tuple[str, str]]]:
+    """Templates by their shingle: ``size`` words, or all words of a shorter one."""
+    import re
+
+    out: dict[int, list[tuple[str, str]]] = {}
+    for name, text in templates:
+        out.setdefault(min(size, len(re.findall("[a-z0-9]+", text.lower()))), []).append((name, text))
+    if 0 in out:
+        raise ValueError("a template has no words")
+    return dict(sorted(out.items()))
+
+
+def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES + SHORT_TEMPLATES, id_col: str = "doc_id", text_col: str = "text", size: int = 5, containment: float = 0.8, certainty: float = 0.99999) -> DataFrame:
     """doc_id, license, containment (the best), first_word and n_words of the window where it is, n_windows."""
     spark = docs.sparkSession
-    classes = _classes(templates, size, containment, certainty)
+    by_size = _by_size(templates, size)
+    sizes = list(by_size)
+    # class length, bands, templates, place of the class's shingle size; shorter templates have a class for each length
+    classes = [(length, bands, group, k) for k, n in enumerate(sizes) for length, bands, group in _classes(by_size[n], n, containment, certainty)]
     given = []
     known: dict[int, list[int]] = {}
-    for length, bands, group in classes:
+    for length, bands, group, k in classes:
         rows = spark.createDataFrame([(length, *t) for t in group], "class int, template int, license string, notice string")
-        rows = rows.withColumn("grams", F.array_distinct(shingle_hashes(words_of(F.col("notice")), size)))
+        rows = rows.withColumn("grams", F.array_distinct(shingle_hashes(words_of(F.col("notice")), sizes[k])))
         known[length] = sorted({x for r in rows.select("grams").collect() for x in r["grams"]})  # of the fixed templates
         given.append(rows.select("class", "template", "license", "grams", F.explode(band_keys(F.col("grams"), bands)).alias("key")))
     bands_of = given[0]
     for more in given[1:]:
         bands_of = bands_of.union(more)
 
-    def of_class_windows(grams: Column, length: int) -> Column:
+    def of_class_windows(grams: Column, length: int, own: int) -> Column:
         width, step = window_shape(length)
         at = F.filter(F.transform(grams, lambda x, i: F.when(x.isin(known[length]), i)), lambda i: i.isNotNull())
-        # the shingle at word i lies in the windows that begin from i + size - width on and up to i
-        first = lambda i: F.greatest(F.lit(0), F.ceil((i + size - width) / step).cast("int"))
+        # the shingle at word i lies in the windows that begin from i + own - width on and up to i
+        first = lambda i: F.greatest(F.lit(0), F.ceil((i + own - width) / step).cast("int"))
         starts = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(first(i), F.floor(i / step).cast("int")), lambda k: k * step)))
         return F.transform(F.array_distinct(starts), lambda b: F.struct(F.lit(length).alias("class"), b.cast("int").alias("start")))
 
     def windows(grams: Column) -> Column:
         """Of one document: (class, first word from 0) of all windows with a template's shingle."""
-        return F.concat(*(of_class_windows(grams, length) for length, _, _ in classes))
+        return F.concat(*(of_class_windows(grams[k], length, sizes[k]) for length, _, _, k in classes))
+
+    def some_known(words: Column) -> Column:
+        found = F.lit(False)
+        for k, n in enumerate(sizes):
+            every = sorted({x for length, _, _, own in classes if own == k for x in known[length]})
+            found = found | F.exists(shingle_hashes(words, n), lambda x: x.isin(every))  # noqa: B023
+        return found
 
-    every = sorted({x for values in known.values() for x in values})
     grams = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # every shingle that counts has an anchor word: texts without one go before anything is hashed
-    anchored = F.arrays_overlap(words_of(F.col("text")), F.array(*map(F.lit, anchors(templates, size))))
-    held = anchored & F.exists(shingle_hashes_once(F.col("text"), size), lambda x: x.isin(every))
-    rows = grams.filter(held).withColumn("grams", shingle_hashes_once(F.col("text"), size))
+    anchor_words = sorted({w for n in sizes for w in anchors(by_size[n], n)})
+    anchored = F.arrays_overlap(words_of(F.col("text")), F.array(*map(F.lit, anchor_words)))
+    held = anchored & let(words_of(F.col("text")), some_known)
+    rows = grams.filter(held).withColumn("grams", let(words_of(F.col("text")), lambda w: F.array(*(shingle_hashes(w, n) for n in sizes))))
     rows = rows.select("doc_id", "grams", F.explode(let(F.col("grams"), windows)).alias("w"))
-    of_class = lambda f: F.coalesce(*(F.when(F.col("w.class") == c, f(c, b)) for c, b, _ in classes))
-    cut = F.array_distinct(F.slice("grams", F.col("w.start") + 1, of_class(lambda c, _: F.lit(window_shape(c)[0] - size + 1))))
-    rows = rows.select("doc_id", F.col("w.class").alias("class"), F.col("w.start").alias("start"), cut.alias("held"))
+    of_class = lambda f: F.coalesce(*(F.when(F.col("w.class") == c, f(c, b)) for c, b, _, _ in classes))
+    cut = F.coalesce(*(F.when(F.col("w.class") == c, F.slice(F.col("grams")[k], F.col("w.start") + 1, window_shape(c)[0] - sizes[k] + 1)) for c, _, _, k in classes))
+    rows = rows.select("doc_id", F.col("w.class").alias("class"), F.col("w.start").alias("start"), F.array_distinct(cut).alias("held"))
     keyed = rows.withColumn("w", F.struct("class")).withColumn("keys", F.array_distinct(of_class(lambda _, b: let(F.col("held"), lambda h: band_keys(h, b)))))
     met = keyed.select("doc_id", "class", "start", "held", F.explode("keys").alias("key")).join(F.broadcast(bands_of), ["class", "key"])
     exact = F.size(F.array_intersect("grams", "held")) / F.size("grams")
     hits = met.withColumn("containment", exact).filter(F.col("containment") >= containment)
-    width = F.coalesce(*(F.when(F.col("class") == c, F.lit(window_shape(c)[0])) for c, _, _ in classes))
+    width = F.coalesce(*(F.when(F.col("class") == c, F.lit(window_shape(c)[0])) for c, *_ in classes))
     best = F.max(F.struct(F.round("containment", 12).alias("containment"), (-F.col("start")).alias("back"), width.alias("width")))
     # a window may meet one template in several bands, so windows are told apart before they are counted
     once = hits.groupBy("doc_id", "license", "class", "start").agg(F.max("containment").alias("containment"))
     out = once.groupBy("doc_id", "license").agg(best.alias("best"), F.count("*").alias("n_windows"))
     out = out.select("doc_id", "license", F.col("best.containment").alias("containment"), (-F.col("best.back")).cast("long").alias("first_word"), F.col("best.width").cast("long").alias("n_words"), "n_windows")
-    # where notices differ in a word or two, the one that is held more fully stands; at most a row per license meets here
+    # where notices differ in a word or two, the one that is held more fully stands; at most a row per license meets here.
+    # A short notice may stand inside a longer one that is altered, and leaves it alone
     of_doc = out.groupBy("doc_id").agg(F.collect_list(F.struct("license", "containment", "first_word", "n_words", "n_windows")).alias("all"))
 
     def outdone(x: Column, y: Column) -> Column:
-        return (y["containment"] > x["containment"]) & (y["first_word"] < x["first_word"] + x["n_words"]) & (x["first_word"] < y["first_word"] + y["n_words"])
+        return (y["n_words"] >= size) & (y["containment"] > x["containment"]) & (y["first_word"] < x["first_word"] + x["n_words"]) & (x["first_word"] < y["first_word"] + y["n_words"])
 
     stands = F.filter("all", lambda x: ~F.exists("all", lambda y: outdone(x, y)))
     return of_doc.select("doc_id", F.inline(stands))
-
-
-def shingle_hashes_once(text: Column, size: int) -> Column:
-    """Shingle hashes of a text whose words are split once."""
-    return let(words_of(text), lambda w: shingle_hashes(w, size))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 
@@ -52,6 +53,31 @@ def test_bands_are_certain():
         license_scan._classes([("x", "too short")], 5, 0.8, 0.99)
 
 
+def test_short_notices(spark):
+    draw = random.Random(9)
+    noise = lambda n: " ".join("".join(draw.choices("bcdfghk", k=6)) for _ in range(n))
+    short = license_scan.SHORT_TEMPLATES
+    rows = [(k, f"{noise(draw.randint(0, 90))} {text} {noise(draw.randint(0, 90))}") for k, (_, text) in enumerate(short)]
+    rows += [(20, "ALL RIGHTS\n  reserved"), (21, "all the rights reserved"), (22, "All rights. Licensed under the MIT License."), (23, "SPDX-License-Identifier: X"), (None, "spdx license identifier mit"), (24, "rights reserved all"), (25, "SPDX-License-Identifier: Apache-2.0")]
+    found = scan(spark, rows)
+    assert set(found) == {*((k, name) for k, (name, _) in enumerate(short)), (20, "all-rights-reserved"), (22, "MIT"), (None, "MIT"), (25, "Apache-2.0")}
+    assert all(r["containment"] == 1.0 for r in found.values())
+    assert found[20, "all-rights-reserved"]["first_word"] == 0 and found[20, "all-rights-reserved"]["n_words"] == 3
+    assert set(scan(spark, [(1, "one MIT two"), (2, "none")], templates=[("MIT", "MIT")])) == {(1, "MIT")}
+    with pytest.raises(ValueError):
+        scan(spark, rows, templates=[("x", " - ")])
+    altered = next(text for name, text in license_scan.TEMPLATES if name == "proprietary").replace("means", "way")
+    assert set(scan(spark, [(1, altered)])) == {(1, "proprietary"), (1, "all-rights-reserved")}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_last_lines_of_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = {r["doc_id"] for r in docs.filter(F.col("text").rlike(r"(^|\n)All rights reserved\.$")).collect()}
+    found = {r["doc_id"] for r in license_scan.license_scan(docs).filter("license = 'all-rights-reserved'").collect()}
+    assert planted and planted <= found
+
+
 # --- conversations
 
 
