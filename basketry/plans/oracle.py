@@ -8,6 +8,7 @@ from __future__ import annotations
 BRANDS = "SELECT DISTINCT l_orderkey AS tid, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey"
 TYPES = "SELECT DISTINCT l_orderkey AS tid, p_type AS item FROM lineitem JOIN part ON l_partkey = p_partkey"
 WORDS = "SELECT DISTINCT doc_id AS tid, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS item FROM documents WHERE lang = 'en'"
+ALL_WORDS = "SELECT DISTINCT doc_id AS tid, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS item FROM documents"
 SUPPLIERS = "SELECT l_suppkey AS user_id, p_brand AS item_id, avg(l_quantity) AS score FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2"
 CUSTOMERS = "SELECT o_custkey AS user_id, p_brand AS item_id, avg(l_quantity) AS score FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2"
 EVENTS = "SELECT user_id, event_type AS item_id, avg(value) AS score FROM events GROUP BY 1, 2"
@@ -118,11 +119,13 @@ ORACLE_SQL: dict[str, str] = {
     **{name: mined(BRANDS, 0.003, 3) for name in ("apriori_brand", "dhp_brand", "fp_growth_brand", "vertical_brand")},
     **{name: mined(TYPES, 0.1, 3) for name in ("apriori_type", "vertical_type_small_chunks")},
     "apriori_words": mined(WORDS, 0.2, 2),
+    "apriori_all_words": mined(ALL_WORDS, 0.05, 2),
     "candidates_of_pairs": itemsets(BRANDS, 0.0155, 2) + " SELECT x.i1 || ',' || x.i2 || ',' || y.i2 AS itemset FROM f2 x JOIN f2 y ON x.i1 = y.i1 AND x.i2 < y.i2 JOIN f2 z ON z.i1 = x.i2 AND z.i2 = y.i2",
     "compare_miners": "SELECT miner, 0::BIGINT AS differences FROM (VALUES ('dhp'), ('fp_growth'), ('vertical')) v(miner)",
     "rules_brand": ruled(BRANDS, 0.003, 3, 0.02),
     "rules_type": ruled(TYPES, 0.1, 3, 0.2),
     "rules_words": ruled(WORDS, 0.2, 2, 0.6),
+    "rules_all_words": ruled(ALL_WORDS, 0.05, 2, 0.4),
     "index_document_frequency": f"SELECT item, count(*) AS df FROM ({BRANDS}) GROUP BY 1",
     "index_find_records": f"SELECT tid AS record_id FROM ({BRANDS}) WHERE item = 'Brand#11'",
     "index_postings": f"SELECT item, tid AS record_id, row_number() OVER (PARTITION BY item ORDER BY tid DESC) AS place FROM ({BRANDS})",

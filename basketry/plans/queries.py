@@ -18,6 +18,8 @@ BRAND = MiningParams(max_k=2, minsup=0.02, minconf=0.1)
 BRAND_DEEP = MiningParams(max_k=3, minsup=0.003, minconf=0.02)
 TYPE = MiningParams(max_k=3, minsup=0.1, minconf=0.2)
 WORDS = MiningParams(max_k=2, minsup=0.2, minconf=0.6)
+#: As the reference's runs over documents.
+ALL_WORDS = MiningParams(max_k=2, minsup=0.05, minconf=0.4)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -170,7 +172,12 @@ def apriori_type(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def apriori_words(s: SparkSession, d: str) -> DataFrame:
-    return _as_text(itemsets.apriori(tables.baskets_of_words(s, d), WORDS).itemsets)
+    return _as_text(itemsets.apriori(tables.baskets_of_words(s, d, "en"), WORDS).itemsets)
+
+
+@query
+def apriori_all_words(s: SparkSession, d: str) -> DataFrame:
+    return _as_text(itemsets.apriori(tables.baskets_of_words(s, d), ALL_WORDS).itemsets)
 
 
 @query
@@ -225,7 +232,12 @@ def rules_type(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def rules_words(s: SparkSession, d: str) -> DataFrame:
-    return _rules_as_text(rules(itemsets.dhp(tables.baskets_of_words(s, d), WORDS).itemsets, WORDS.minconf))
+    return _rules_as_text(rules(itemsets.dhp(tables.baskets_of_words(s, d, "en"), WORDS).itemsets, WORDS.minconf))
+
+
+@query
+def rules_all_words(s: SparkSession, d: str) -> DataFrame:
+    return _rules_as_text(rules(itemsets.dhp(tables.baskets_of_words(s, d), ALL_WORDS).itemsets, ALL_WORDS.minconf))
 
 
 # --- inverted index

@@ -23,9 +23,10 @@ def baskets_of_parts(spark: SparkSession, sf_dir: str, column: str = "p_brand",
     return rows.distinct() if distinct else rows
 
 
-def baskets_of_words(spark: SparkSession, sf_dir: str, lang: str = "en") -> DataFrame:
-    """tid, item: each document's words of four letters or more."""
-    docs = table(spark, sf_dir, "documents").filter(F.col("lang") == lang)
+def baskets_of_words(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
+    """tid, item: each document's words of four letters or more; of one language if ``lang`` is given."""
+    docs = table(spark, sf_dir, "documents")
+    docs = docs if lang is None else docs.filter(F.col("lang") == lang)
     return docs.select(F.col("doc_id").alias("tid"), F.explode(F.array_distinct(words(F.col("text")))).alias("item"))
 
 

@@ -80,3 +80,13 @@ def test_index(spark):
     index.write(built, "postings", 4)
     assert ids(index.find_records(spark.table("postings"), "cat")) == [2]
     spark.sql("DROP TABLE postings")
+
+
+def test_words_of_all_documents(spark, tmp_path):
+    from basketry.sources import tables
+
+    rows = [(1, "some words here", "en"), (2, "andere Worte", "de"), (3, "nulle langue", None), (4, None, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {(r["tid"], r["item"]) for r in tables.baskets_of_words(spark, str(tmp_path)).collect()}
+    assert found == {(1, "some"), (1, "words"), (1, "here"), (2, "andere"), (2, "worte"), (3, "nulle"), (3, "langue")}
+    assert {t for t, _ in ((r["tid"], r["item"]) for r in tables.baskets_of_words(spark, str(tmp_path), "de").collect())} == {2}
