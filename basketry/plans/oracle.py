@@ -99,6 +99,24 @@ _CELLS = " UNION ALL ".join(
 _HYBRID = f"{_split(SUPPLIERS)}, s AS ({_pearson('train')}), si AS ({_adjusted('train')}), {_user_based(0.2)}, {_neighbours(0.02)}, {_item_based()}, hy AS (SELECT user_id, item_id, round(ub.raw * 0.4 + ib.raw * 0.6, 6) AS raw FROM ub JOIN ib USING (user_id, item_id))"
 _RULED = f"{_split(SUPPLIERS)}, o AS (SELECT DISTINCT user_id AS tid, item_id AS item FROM train), f AS (SELECT item, count(*) AS support FROM o GROUP BY 1), p AS (SELECT x.item AS a, y.item AS c, count(*) AS support FROM o x JOIN o y ON x.tid = y.tid AND x.item <> y.item GROUP BY 1, 2 HAVING count(*) >= (SELECT greatest(1, round(count(DISTINCT tid) * 0.3)) FROM o)), q AS (SELECT a, c, p.support / f.support AS conf FROM p JOIN f ON item = a WHERE p.support / f.support >= 0.8), ru AS (SELECT user_id, c AS item_id, round(sum(conf * score) / sum(conf), 6) AS raw FROM q JOIN train ON item_id = a GROUP BY 1, 2)"
 
+
+
+def _ruled_deep(minsup: float, max_k: int, minconf: float) -> str:
+    """CTEs r, train, test, those of itemsets(), and ru(user_id, item_id, raw) from rules with sides of any size."""
+    splits = []
+    for k in range(2, max_k + 1):
+        for mask in range(1, 2**k - 1):
+            side = lambda bit: "[" + ", ".join(f"i{j + 1}" for j in range(k) if (mask >> j & 1) == bit) + "]"
+            splits.append(f"SELECT {side(1)} AS a, {side(0)} AS c, support FROM f{k}")
+    mining = itemsets("SELECT DISTINCT user_id AS tid, item_id AS item FROM train", minsup, max_k).removeprefix("WITH ")
+    return f"""{_split(SUPPLIERS)}, {mining}, s AS ({' UNION ALL '.join(splits)}),
+q AS (SELECT row_number() OVER () AS rule, a, c, s.support / found.support AS conf FROM s JOIN found ON itemset = array_to_string(a, ',') WHERE s.support / found.support >= {minconf}),
+h AS (SELECT user_id, rule, sum(score) AS scores, count(*) AS n FROM (SELECT rule, len(a) AS needed, unnest(a) AS item_id FROM q) JOIN train USING (item_id) GROUP BY user_id, rule, needed HAVING count(*) = needed),
+ru AS (SELECT user_id, item_id, round(sum(conf * scores) / sum(conf * n), 6) AS raw FROM h JOIN (SELECT rule, conf, unnest(c) AS item_id FROM q) USING (rule) GROUP BY 1, 2)"""
+
+
+_RULED_DEEP = _ruled_deep(0.3, 3, 0.8)
+
 ORACLE_SQL: dict[str, str] = {
     "source_baskets_brand": BRANDS,
     "source_baskets_of_ratings": f"SELECT DISTINCT user_id AS tid, item_id AS item FROM ({EVENTS})",
@@ -149,6 +167,8 @@ ORACLE_SQL: dict[str, str] = {
     "recommend_rule_based": f"{_RULED} SELECT * FROM ru",
     "evaluate_hybrid": f"{_HYBRID} {_errors('hy', 'p.raw')}",
     "evaluate_rule_based": f"{_RULED} {_errors('ru', 'p.raw')}",
+    "recommend_rule_based_deep": f"{_RULED_DEEP} SELECT * FROM ru",
+    "evaluate_rule_based_deep": f"{_RULED_DEEP} {_errors('ru', 'p.raw')}",
     "index_word_frequency": "SELECT item, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS item FROM documents) GROUP BY 1",
     "recommend_item_based_one": f"{_split(CUSTOMERS)}, si AS ({_adjusted('train')}), {_neighbours(0.01)}, {_item_based()} SELECT user_id, item_id, raw, round(raw) AS score FROM ib WHERE user_id = 1",
     "evaluate_user_based": f"{_split(SUPPLIERS)}, s AS ({_pearson('train')}), {_user_based(0.2)} {_errors('ub')}",

@@ -370,8 +370,8 @@ def recommend_hybrid(s: SparkSession, d: str) -> DataFrame:
     return recommend.hybrid(recommend.user_based(train, CFParams(0.2)), recommend.item_based(train, CFParams(0.02)), 0.6)
 
 
-def _rating_rules(train: DataFrame) -> DataFrame:
-    params = MiningParams(max_k=2, minsup=0.3, minconf=0.8)
+def _rating_rules(train: DataFrame, max_k: int = 2) -> DataFrame:
+    params = MiningParams(max_k, minsup=0.3, minconf=0.8)
     return rules(itemsets.apriori(tables.baskets_of_ratings(train), params).itemsets, params.minconf)
 
 
@@ -381,6 +381,13 @@ def recommend_rule_based(s: SparkSession, d: str) -> DataFrame:
     return recommend.rule_based(train, _rating_rules(train))
 
 
+@query
+def recommend_rule_based_deep(s: SparkSession, d: str) -> DataFrame:
+    """With the reference's largest itemset, 3."""
+    train = split(tables.ratings_of_suppliers(s, d))[0].persist()
+    return recommend.rule_based(train, _rating_rules(train, 3))
+
+
 @query
 def evaluate_user_based(s: SparkSession, d: str) -> DataFrame:
     train, test = split(tables.ratings_of_suppliers(s, d))
@@ -407,6 +414,13 @@ def evaluate_rule_based(s: SparkSession, d: str) -> DataFrame:
     return evaluate.errors(recommend.rule_based(train, _rating_rules(train)), test, train)
 
 
+@query
+def evaluate_rule_based_deep(s: SparkSession, d: str) -> DataFrame:
+    train, test = split(tables.ratings_of_suppliers(s, d))
+    train = train.persist()
+    return evaluate.errors(recommend.rule_based(train, _rating_rules(train, 3)), test, train)
+
+
 @query
 def grid_search(s: SparkSession, d: str) -> DataFrame:
     train, test = split(tables.ratings_of_suppliers(s, d))
