@@ -14,11 +14,12 @@ def errors(predicted: DataFrame, test: DataFrame, train: DataFrame, value: str =
     return both.agg(F.round(F.avg(F.abs(off)), 6).alias("mae"), F.round(F.sqrt(F.avg(off * off)), 6).alias("rmse"), F.count("*").alias("n"))
 
 
-def grid_search(by_users: DataFrame, by_items: DataFrame, test: DataFrame, train: DataFrame, alphas: list[float]) -> DataFrame:
+def grid_search(by_users: DataFrame, by_items: DataFrame, test: DataFrame, train: DataFrame, alphas: list[float], thresholds: list[float] | None = None) -> DataFrame:
     """user_threshold, item_threshold, alpha, mae of every combination.
 
     ``by_users`` and ``by_items`` hold predictions with a threshold column each; all combinations
-    are one join on (user, item) and one aggregate.
+    are one join on (user, item) and one aggregate. ``thresholds`` are those of both; without them,
+    a threshold that leaves no prediction at all has no row.
     """
     known = test.join(train.select("user_id").distinct(), "user_id", "left_semi")
     spark = test.sparkSession
@@ -30,7 +31,7 @@ def grid_search(by_users: DataFrame, by_items: DataFrame, test: DataFrame, train
     # without a prediction a rating is wrong by itself: start from there and add what predictions change
     base = known.agg(F.sum(F.abs("score")).alias("all"), F.count("*").alias("n")).first()
     # the grid is as large as its parameters
-    first, second = (sorted(r[0] for r in rows.select(c).distinct().collect()) for rows, c in ((u, "user_threshold"), (i, "item_threshold")))
+    first, second = (thresholds or sorted(r[0] for r in rows.select(c).distinct().collect()) for rows, c in ((u, "user_threshold"), (i, "item_threshold")))
     grid = spark.createDataFrame([(float(x), float(y), float(a)) for x in first for y in second for a in alphas], "user_threshold double, item_threshold double, alpha double")
     out = grid.join(found, ["user_threshold", "item_threshold", "alpha"], "left")
     return out.select("user_threshold", "item_threshold", "alpha", F.round((F.lit(base["all"] or 0.0) + F.coalesce("gain", F.lit(0.0))) / max(1, base["n"]), 6).alias("mae"))

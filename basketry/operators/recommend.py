@@ -56,6 +56,34 @@ def item_based(ratings: DataFrame, params: CFParams = CFParams(), target=None, n
     return _finish(rows, mine, params)
 
 
+def _at_thresholds(rows: DataFrame, column: str) -> DataFrame:
+    """user_id, item_id, ``column``, raw from (user_id, item_id, weight, value, holds): weighted means at each threshold that a row holds for."""
+    each = rows.withColumn(column, F.explode("holds")).groupBy("user_id", "item_id", column)
+    return each.agg(F.round(F.sum(F.col("weight") * F.col("value")) / F.sum("weight"), 6).alias("raw"))
+
+
+def user_based_at(ratings: DataFrame, thresholds: list[float], wanted: DataFrame) -> DataFrame:
+    """user_id, item_id, user_threshold, raw of user_based() at each threshold, for the (user, item) pairs in ``wanted``; similarities are taken once."""
+    steps = F.array(*map(F.lit, thresholds))
+    near = both_ways(user_similarities(ratings)).filter(F.col("sim") > min(thresholds))
+    theirs = near.join(ratings.withColumnRenamed("user_id", "other"), "other").withColumnRenamed("thing", "user_id")
+    pairs = wanted.select("user_id", "item_id").join(ratings.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    rows = theirs.join(pairs, ["user_id", "item_id"]).withColumn("holds", F.filter(steps, lambda t: F.col("sim") > t))
+    return _at_thresholds(rows.select("user_id", "item_id", F.col("sim").alias("weight"), F.col("score").alias("value"), "holds"), "user_threshold")
+
+
+def item_based_at(ratings: DataFrame, thresholds: list[float], wanted: DataFrame) -> DataFrame:
+    """user_id, item_id, item_threshold, raw of item_based() at each threshold, for the (user, item) pairs in ``wanted``; similarities are taken once."""
+    items = ratings.select("item_id").distinct().count()
+    steps = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(min(max(items - 1, 0), math.floor(items * (1 - t) + 1e-9))).alias("k")) for t in thresholds))
+    near = item_neighbours(ratings, min(thresholds))
+    holds = F.transform(F.filter(steps, lambda s: (F.col("sim") > s["t"]) & (F.col("rnk") <= s["k"])), lambda s: s["t"])
+    near = near.withColumn("holds", holds).withColumnsRenamed({"item_id": "mine", "other_id": "item_id"})
+    pairs = wanted.select("user_id", "item_id").join(ratings.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    rows = ratings.withColumnRenamed("item_id", "mine").join(near, "mine").join(pairs, ["user_id", "item_id"])
+    return _at_thresholds(rows.select("user_id", "item_id", F.col("sim").alias("weight"), F.col("score").alias("value"), "holds"), "item_threshold")
+
+
 def mean_centred(ratings: DataFrame, params: CFParams = CFParams(), measure: Callable[[], Column] = pearson) -> DataFrame:
     """A user's mean, plus similar users' deviations from theirs, weighted by the similarity's size."""
     means = ratings.groupBy("user_id").agg(F.avg("score").alias("mean"))

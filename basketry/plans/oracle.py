@@ -96,6 +96,18 @@ _CELLS = " UNION ALL ".join(
     for uk, ut in enumerate((0.1, 0.2, 0.3)) for ik, it in enumerate((0.01, 0.02))
 )
 
+_STEPS = "SELECT range / 100 AS t FROM range(31)"
+_PAIRS = "SELECT user_id, item_id FROM test WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user_id = test.user_id AND t.item_id = test.item_id)"
+_WHOLE_GRID = f"""{_split(SUPPLIERS)}, s AS ({_pearson('train')}), si AS ({_adjusted('train')}), st AS ({_STEPS}), pr AS ({_PAIRS}), k AS (SELECT count(DISTINCT item_id) AS items FROM train),
+u AS (SELECT pr.user_id, pr.item_id, t, round(sum(sim * score) / sum(sim), 6) AS raw FROM pr JOIN ({BOTH}) ON thing = pr.user_id JOIN train ON train.user_id = other AND train.item_id = pr.item_id JOIN st ON sim > t GROUP BY 1, 2, 3),
+n AS (SELECT thing, other, sim, row_number() OVER (PARTITION BY thing ORDER BY round(sim, 9) DESC, other) AS rnk FROM (SELECT a AS thing, b AS other, sim FROM si UNION ALL SELECT b, a, sim FROM si)),
+i AS (SELECT pr.user_id, pr.item_id, t, round(sum(sim * score) / sum(sim), 6) AS raw FROM pr JOIN train ON train.user_id = pr.user_id JOIN n ON n.thing = train.item_id AND n.other = pr.item_id JOIN st ON sim > t CROSS JOIN k WHERE rnk <= least(items - 1, floor(items * (1 - t) + 1e-9)) GROUP BY 1, 2, 3),
+v AS (SELECT user_id, item_id, score, a.t AS user_threshold, b.t AS item_threshold, u.raw AS ur, i.raw AS ir FROM test CROSS JOIN st a CROSS JOIN st b JOIN u USING (user_id, item_id) JOIN i USING (user_id, item_id) WHERE u.t = a.t AND i.t = b.t AND user_id IN (SELECT user_id FROM train)),
+w AS (SELECT user_threshold, item_threshold, alpha, sum(abs(ur * (1 - alpha) + ir * alpha - score) - abs(score)) AS gain FROM v CROSS JOIN (SELECT (50 + range) / 100 AS alpha FROM range(31)) GROUP BY 1, 2, 3)
+SELECT a.t AS user_threshold, b.t AS item_threshold, g.alpha, round((known.whole + coalesce(gain, 0)) / known.n, 6) AS mae
+FROM st a CROSS JOIN st b CROSS JOIN (SELECT (50 + range) / 100 AS alpha FROM range(31)) g CROSS JOIN (SELECT sum(abs(score)) AS whole, count(*) AS n FROM test WHERE user_id IN (SELECT user_id FROM train)) known
+LEFT JOIN w ON w.user_threshold = a.t AND w.item_threshold = b.t AND w.alpha = g.alpha"""
+
 _HYBRID = f"{_split(SUPPLIERS)}, s AS ({_pearson('train')}), si AS ({_adjusted('train')}), {_user_based(0.2)}, {_neighbours(0.02)}, {_item_based()}, hy AS (SELECT user_id, item_id, round(ub.raw * 0.4 + ib.raw * 0.6, 6) AS raw FROM ub JOIN ib USING (user_id, item_id))"
 _RULED = f"{_split(SUPPLIERS)}, o AS (SELECT DISTINCT user_id AS tid, item_id AS item FROM train), f AS (SELECT item, count(*) AS support FROM o GROUP BY 1), p AS (SELECT x.item AS a, y.item AS c, count(*) AS support FROM o x JOIN o y ON x.tid = y.tid AND x.item <> y.item GROUP BY 1, 2 HAVING count(*) >= (SELECT greatest(1, round(count(DISTINCT tid) * 0.3)) FROM o)), q AS (SELECT a, c, p.support / f.support AS conf FROM p JOIN f ON item = a WHERE p.support / f.support >= 0.8), ru AS (SELECT user_id, c AS item_id, round(sum(conf * score) / sum(conf), 6) AS raw FROM q JOIN train ON item_id = a GROUP BY 1, 2)"
 
@@ -173,5 +185,6 @@ ORACLE_SQL: dict[str, str] = {
     "recommend_item_based_one": f"{_split(CUSTOMERS)}, si AS ({_adjusted('train')}), {_neighbours(0.01)}, {_item_based()} SELECT user_id, item_id, raw, round(raw) AS score FROM ib WHERE user_id = 1",
     "evaluate_user_based": f"{_split(SUPPLIERS)}, s AS ({_pearson('train')}), {_user_based(0.2)} {_errors('ub')}",
     "evaluate_item_based": f"{_split(CUSTOMERS)}, si AS ({_adjusted('train')}), {_neighbours(0.01)}, {_item_based()} {_errors('ib')}",
+    "grid_search_whole": _WHOLE_GRID,
     "grid_search": f"{_GRID} SELECT CAST(user_threshold AS DOUBLE) AS user_threshold, CAST(item_threshold AS DOUBLE) AS item_threshold, CAST(alpha AS DOUBLE) AS alpha, mae FROM ({_CELLS})",
 }

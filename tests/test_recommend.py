@@ -1,3 +1,5 @@
+import itertools
+
 import pytest
 
 from basketry.operators import evaluate, recommend, similarity
@@ -80,3 +82,23 @@ def test_errors_count_missing_as_zero(spark, toy):
     test = memory_ratings(spark, {0: {0: 3.0, 7: 2.0}, 99: {1: 5.0}})
     row = evaluate.errors(recommend.user_based(toy), test, toy).first()
     assert (row["n"], row["mae"], row["rmse"]) == (2, pytest.approx((0.25 + 2) / 2), pytest.approx(((0.25**2 + 4) / 2) ** 0.5, abs=1e-6))
+
+
+def test_predictions_at_all_thresholds(spark, toy):
+    wanted = toy.select("user_id").distinct().crossJoin(toy.select("item_id").distinct())
+    steps = [0.0, 0.19, 0.3, 0.45, 0.6]
+    at = lambda rows, c: {(r["user_id"], r["item_id"], r[c]): pytest.approx(r["raw"], abs=1e-6) for r in rows.collect()}
+    users, items = at(recommend.user_based_at(toy, steps, wanted), "user_threshold"), at(recommend.item_based_at(toy, steps, wanted), "item_threshold")
+    assert users == {(r["user_id"], r["item_id"], t): r["raw"] for t in steps for r in recommend.user_based(toy, CFParams(t)).collect()}
+    assert items == {(r["user_id"], r["item_id"], t): r["raw"] for t in steps for r in recommend.item_based(toy, CFParams(t)).collect()}
+
+
+def test_grid_has_every_point(spark, toy):
+    test = memory_ratings(spark, {0: {0: 3.0, 2: 2.0}, 3: {1: 4.0}, 99: {1: 5.0}})
+    steps, alphas = [0.0, 0.3, 1.5], [0.5, 0.8]
+    u, i = recommend.user_based_at(toy, steps, test), recommend.item_based_at(toy, steps, test)
+    found = {(r["user_threshold"], r["item_threshold"], r["alpha"]): r["mae"] for r in evaluate.grid_search(u, i, test, toy, alphas, steps).collect()}
+    assert set(found) == set(itertools.product(steps, steps, alphas))
+    for (x, y, a), mae in found.items():
+        both = recommend.hybrid(recommend.user_based(toy, CFParams(x)), recommend.item_based(toy, CFParams(y)), a)
+        assert mae == pytest.approx(evaluate.errors(both, test, toy).first()["mae"], abs=2e-6)
