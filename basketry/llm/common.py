@@ -1,11 +1,7 @@
-"""Shared pieces of the corpus operators: shared storage, Arrow streaming, word hashing."""
+"""Shared pieces of the corpus operators: Arrow streaming and word hashing."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketry.storage import discard, join_hot, materialize  # noqa: F401
+
 #: Bytes that end a word: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_BREAKS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -21,37 +19,13 @@ _IN_WORD[list(WORD_BREAKS)] = False
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _STRETCH = 1 << 18
-_own_dirs: dict[str, str] = {}
 _powers = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64)}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where none is named, which is an error on a cluster, local sessions get a temporary folder of
-    their own, removed at exit.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if spark.sparkContext.applicationId not in _own_dirs:
-        _own_dirs[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="basketry-")
-        atexit.register(shutil.rmtree, _own_dirs[spark.sparkContext.applicationId], ignore_errors=True)
-    return _own_dirs[spark.sparkContext.applicationId]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which ends its lineage.
-
-    Lost executors cost no recomputation of what is written.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/basketry/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files or row groups than there are cores is dealt to all cores; any other is read as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketry.llm.common import spread
 from basketry.llm import ann_permutation, best_fit_packing, byte_bpe, chat_format, language_id, license_scan, ngram_join, quality_classifier, quality_rules, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,12 +74,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_permutation_index": op9_permutation_index,
     "op10_token_counts": op10_token_counts,
-    "pipeline": corpus_pipeline.run,
 }
 
 _HARD_SQL = "SELECT -7, {turn}, '{role}', '\\### Assistant: </turn> ok'"
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_quality_rules": quality_rules.oracle("documents"),
     "op2_ngram_jaccard_join": ngram_join.oracle("documents"),
     "op3_chat_format": chat_format.oracle("(SELECT conv_id, turn, role, text FROM conversations UNION ALL " + _HARD_SQL.format(turn=0, role="user") + " UNION ALL " + _HARD_SQL.format(turn=1, role="assistant") + ")"),
 }

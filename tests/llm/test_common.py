@@ -10,6 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from basketry import storage
 from basketry.llm import common
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -62,8 +63,8 @@ def test_slices_take_nulls_and_long_rows():
 def test_no_temporary_folder_on_a_cluster():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(master="yarn", applicationId="x"))
     with pytest.raises(ValueError):
-        common.shared_dir(session)
+        storage.shared_dir(session)
     session.sparkContext.master = "local[2]"
-    assert common.shared_dir(session) == common.shared_dir(session)
+    assert storage.shared_dir(session) == storage.shared_dir(session)
     session.conf.get = lambda k, d: "file:///shared/"
-    assert common.shared_dir(session) == "file:///shared"
+    assert storage.shared_dir(session) == "file:///shared"
