@@ -8,13 +8,15 @@
    none is held by one task. In a task, pairs compare MinHash bytes a few at a time and are
    dropped as soon as the posterior probability that they reach the threshold, from a uniform
    prior, falls below ``tolerance``. Survivors leave the task as a forest, linear in its members.
-3. Components of the forests say which texts must meet. Their texts are fetched once, again in
-   pairs of blocks, and every pair is verified by exact intersection of the n-gram sets; tasks
-   return a row for each class with its links counted, and a forest of the verified links.
+3. Components of the forests say which texts must meet. In components of more than one block the
+   sketches meet first, in pairs of blocks, and a text goes only to those pairs of blocks in which
+   it has a partner that survives. There every pair is verified by exact intersection of the n-gram
+   sets; tasks return a row for each class with its links counted, and a forest of the verified links.
 4. Components of these are the classes of near-duplicates.
 
-n-gram and set ids are hashes of 44 and 64 bits: two different n-grams of one document are taken
-for one with a probability of about n^2 / 2^45.
+Sets are told apart by 128 bits: a set's id has 64, and where two sets share one, they get ids of
+their own from 64 more. n-grams are hashes of 54 bits or more: two different n-grams of one document
+are taken for one with a probability of about n^2 / 2^55.
 
 Defined results: words are runs of other than ASCII white space, compared as they are; a text of
 fewer words than n has one n-gram, all its words; a null, empty or blank text has no n-gram, no
@@ -32,43 +34,47 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import Words, bounded_batches, materialize, mix, shingles, slices, text_bytes
+from basketry.llm.common import Words, bounded_batches, discard, materialize, mix, shingles, slices, text_bytes
 from basketry.llm.components import connected_components
 
 #: Members of a block of a bucket or a component, and n-grams of a block of texts, about.
 BLOCK = 256
 BLOCK_GRAMS = 500_000
+#: Texts of which n-gram sets are taken at once have numbers of so many bits.
+DOC_BITS = 10
 _HELD_BYTES = 4 << 20
 _FACTORS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def gram_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct 44-bit n-gram hashes of every text, end to end, and where each text's begin."""
+def gram_sets(column: pa.Array, size: int, doc_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct n-gram hashes, of 64 - ``doc_bits`` bits, of each of up to 2^doc_bits texts, end to end, and where each text's begin."""
     raw, offsets = text_bytes(column)
     grams, bounds = shingles(Words(raw, offsets), size)
     doc = np.repeat(np.arange(len(column), dtype=np.uint64), np.diff(bounds))
-    key = np.sort(doc << np.uint64(44) | grams >> np.uint64(20))
+    gram_bits = np.uint64(64 - doc_bits)
+    key = np.sort(doc << gram_bits | grams >> np.uint64(doc_bits))
     if len(key):
         key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-    return key & np.uint64((1 << 44) - 1), np.searchsorted(key >> np.uint64(44), np.arange(len(column) + 1))
+    return key & ((np.uint64(1) << gram_bits) - np.uint64(1)), np.searchsorted(key >> gram_bits, np.arange(len(column) + 1).astype(np.uint64))
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, pick (finds the row again), set_id (null without n-grams), n_grams, keys, sketch."""
+def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int, id_bits: int = 64) -> DataFrame:
+    """doc_id, pick (finds the row again), set_id (null without n-grams), check (64 more bits of it), n_grams, keys, sketch."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                grams, bounds = gram_sets(part.column("text"), size)
+            for part in (p.slice(at, 1 << DOC_BITS) for p in slices(batch, "text") for at in range(0, p.num_rows, 1 << DOC_BITS)):
+                grams, bounds = gram_sets(part.column("text"), size, DOC_BITS)
                 n = np.diff(bounds)
                 full = np.flatnonzero(n)
                 at = bounds[:-1][full]
                 value = mix(grams + np.uint64(1))
-                ids = np.zeros(len(n), dtype=np.uint64)
+                ids, check = np.zeros((2, len(n)), dtype=np.uint64)
                 least = np.zeros((len(n), bands * rows), dtype=np.uint64)
                 if len(full):
-                    ids[full] = mix(np.add.reduceat(value, at) ^ mix(np.add.reduceat(value * _FACTORS[255], at)))
+                    ids[full] = mix(np.add.reduceat(value, at) ^ mix(np.add.reduceat(value * _FACTORS[255], at))) >> np.uint64(64 - id_bits)
+                    check[full] = mix(np.add.reduceat(mix(value ^ _FACTORS[254]), at))
                     for k in range(bands * rows):
                         least[full, k] = np.minimum.reduceat(value * _FACTORS[k] + _FACTORS[k] >> np.uint64(7), at)
                 least = mix(least)
@@ -78,12 +84,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, bands: in
                         keys[:, b] = mix(keys[:, b] * np.uint64(31) + least[:, k] + np.uint64(b))
                 sketch = (least & np.uint64(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": part.column("doc_id"), "pick": part.column("pick"), "set_id": pa.array(ids.view(np.int64), mask=n == 0), "n_grams": pa.array(n.astype(np.int64)),
+                    "doc_id": part.column("doc_id"), "pick": part.column("pick"), "set_id": pa.array(ids.view(np.int64), mask=n == 0), "check": pa.array(check.view(np.int64)), "n_grams": pa.array(n.astype(np.int64)),
                     "keys": pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.view(np.int64).ravel())), "sketch": pa.array([x.tobytes() for x in sketch], pa.binary()),
                 })
 
     rows_ = _picked(docs, id_col, text_col)
-    return rows_.mapInArrow(run, f"doc_id {rows_.schema['doc_id'].dataType.simpleString()}, pick long, set_id long, n_grams long, keys array<long>, sketch binary")
+    return rows_.mapInArrow(run, f"doc_id {rows_.schema['doc_id'].dataType.simpleString()}, pick long, set_id long, check long, n_grams long, keys array<long>, sketch binary")
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
@@ -183,6 +189,30 @@ def _tasks(members: DataFrame, group: str, node: str) -> DataFrame:
     return cut.withColumn("g", F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other"))).withColumn("side", F.when(F.col("own") == F.col("other"), F.lit(0)).when(F.col("own") < F.col("other"), F.lit(1)).otherwise(F.lit(2)))
 
 
+def _alive(cuts: np.ndarray, side: np.ndarray, sketch: np.ndarray, needed: list[int], steps: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that meet in a group (``cuts`` says where groups begin) and survive."""
+    sizes = np.diff(cuts)
+    ends: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
+    for size in np.unique(sizes[sizes > 1]).tolist():
+        i, j = np.triu_indices(size, 1)
+        begin = cuts[:-1][sizes == size]
+        for at in range(0, len(begin), step := max(1, 200_000 // len(i))):
+            base = begin[at : at + step, None]
+            a, b = (base + i).ravel(), (base + j).ravel()
+            met = (side[a] == 0) | (side[a] != side[b])  # within one block, or across the two
+            a, b = a[met], b[met]
+            alive = pruned(sketch[a], sketch[b], needed, steps)
+            ends.append((a[alive], b[alive]))
+    return np.concatenate([x for x, _ in ends]), np.concatenate([x for _, x in ends])
+
+
+def _unpacked(held: pa.Table, *names: str) -> tuple[np.ndarray, ...]:
+    """Where groups begin (and the end of the last), the sketches as a matrix, and other columns."""
+    g = held.column("g").to_numpy()
+    sketch = np.frombuffer(b"".join(held.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(g), -1)
+    return np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1, [len(g)]]), sketch, *(held.column(c).to_numpy() for c in names)
+
+
 def candidate_forest(reps: DataFrame, threshold: float, tolerance: float, bands: int, rows: int) -> DataFrame:
     """a, b: edges whose components hold all pairs that share a band and survive pruning."""
     keys = reps.select(F.explode("keys").alias("key"), "set_id")
@@ -194,26 +224,12 @@ def candidate_forest(reps: DataFrame, threshold: float, tolerance: float, bands:
     needed = least_matches(threshold, tolerance, steps)
 
     def solve(held: pa.Table) -> pa.RecordBatch | None:
-        g, side, node = (held.column(c).to_numpy() for c in ("g", "side", "set_id"))
-        sketch = np.frombuffer(b"".join(held.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(g), -1)
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1, [len(g)]])
-        sizes = np.diff(cuts)
-        ends: list[tuple[np.ndarray, np.ndarray]] = []
-        for size in np.unique(sizes[sizes > 1]).tolist():
-            i, j = np.triu_indices(size, 1)
-            begin = cuts[:-1][sizes == size]
-            for at in range(0, len(begin), step := max(1, 200_000 // len(i))):
-                base = begin[at : at + step, None]
-                a, b = (base + i).ravel(), (base + j).ravel()
-                met = (side[a] == 0) | (side[a] != side[b])  # within one block, or across the two
-                a, b = a[met], b[met]
-                alive = pruned(sketch[a], sketch[b], needed, steps)
-                ends.append((a[alive], b[alive]))
-        if not ends:
+        cuts, sketch, side, node = _unpacked(held, "side", "set_id")
+        a, b = _alive(cuts, side, sketch, needed, steps)
+        if not len(a):
             return None
-        a, b = (np.concatenate(x) for x in zip(*ends))
-        root = forest(len(g), a, b)
-        linked = np.flatnonzero(root != np.arange(len(g)))
+        root = forest(len(node), a, b)
+        linked = np.flatnonzero(root != np.arange(len(node)))
         return pa.RecordBatch.from_pydict({"a": pa.array(node[linked]), "b": pa.array(node[root[linked]])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,19 +238,42 @@ def candidate_forest(reps: DataFrame, threshold: float, tolerance: float, bands:
     return tasks.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
 
 
-def verified_links(docs: DataFrame, homes: DataFrame, id_col: str, text_col: str, size: int, threshold: float) -> DataFrame:
+def surviving_members(homes: DataFrame, threshold: float, tolerance: float, hashes: int) -> DataFrame:
+    """set_id, g, side: of components of several blocks, the pairs of blocks in which a set has a partner that survives.
+
+    ``homes``: set_id, sketch, root, blocks.
+    """
+    steps = list(range(16, hashes + 1, 16))
+    needed = least_matches(threshold, tolerance, steps)
+    tasks = _tasks(homes.filter("blocks > 1").select("root", "blocks", "set_id", "sketch"), "root", "set_id").select("g", "side", "set_id", "sketch")
+
+    def solve(held: pa.Table) -> pa.RecordBatch | None:
+        cuts, sketch, side, node, g = _unpacked(held, "side", "set_id", "g")
+        at = np.unique(np.concatenate(_alive(cuts, side, sketch, needed, steps)))
+        return pa.RecordBatch.from_pydict({"set_id": pa.array(node[at]), "g": pa.array(g[at]), "side": pa.array(side[at])}) if len(at) else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _by_group(batches, solve, lambda b: b.num_rows * 200)
+
+    return tasks.repartition("g").sortWithinPartitions("g").mapInArrow(run, "set_id long, g long, side int")
+
+
+def verified_links(docs: DataFrame, homes: DataFrame, id_col: str, text_col: str, size: int, threshold: float, tolerance: float, hashes: int) -> DataFrame:
     """set_id, n_links (documents of other sets linked with it), root: by exact comparison within homes.
 
-    ``homes``: pick, set_id, copies (documents with that set), root, blocks (of the sets with that root).
+    ``homes``: pick, set_id, copies (documents with that set), sketch, root, blocks (of the sets with that root).
     """
-    texts = _picked(docs, id_col, text_col).drop("doc_id").join(homes, "pick")
-    tasks = _tasks(texts, "root", "set_id").select("g", "side", "set_id", "copies", "text")
+    alone = _tasks(homes.filter("blocks = 1"), "root", "set_id").select("pick", "set_id", "copies", F.array(F.struct("g", "side")).alias("tasks"))
+    several = surviving_members(homes, threshold, tolerance, hashes).groupBy("set_id").agg(F.collect_list(F.struct("g", "side")).alias("tasks"))
+    several = several.join(homes.filter("blocks > 1").select("pick", "set_id", "copies"), "set_id").select("pick", "set_id", "copies", "tasks")
+    texts = _picked(docs, id_col, text_col).drop("doc_id").join(alone.unionByName(several), "pick")
+    tasks = texts.select("set_id", "copies", "text", F.explode("tasks").alias("t")).select("t.g", "t.side", "set_id", "copies", "text")
 
     def solve(held: pa.Table) -> pa.RecordBatch | None:
         held = held.combine_chunks()
         g, side, node, copies = (held.column(c).to_numpy() for c in ("g", "side", "set_id", "copies"))
         column = held.column("text")
-        grams, bounds = gram_sets(column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks), size)
+        grams, bounds = gram_sets(column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks), size, max(1, (len(g) - 1).bit_length()))
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1, [len(g)]])
         links, ends = np.zeros(len(g), dtype=np.int64), []
         for lo, hi in zip(cuts[:-1], cuts[1:]):
@@ -287,16 +326,36 @@ def _similar(grams: np.ndarray, bounds: np.ndarray, threshold: float) -> np.ndar
     return near
 
 
-def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 4, tolerance: float = 1e-6) -> DataFrame:
+def _sets(signed: DataFrame) -> DataFrame:
+    """A row for each set: how many documents have it, the least of them, and what to compare it by."""
+    sets = signed.filter("set_id IS NOT NULL").groupBy("set_id").agg(
+        F.count("*").alias("copies"), F.min("doc_id").alias("low_id"), F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "pick")).alias("low"),
+        F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("n_grams").alias("n_grams"), F.min("check").alias("check"), F.max("check").alias("last_check"),
+    )
+    return materialize(sets.withColumn("pick", F.col("low.pick")), "sets")
+
+
+def _apart(signed: DataFrame, sets: DataFrame) -> DataFrame:
+    """``signed`` with other ids for sets that share one with another set."""
+    shared = sets.filter("check <> last_check").select("set_id", F.lit(True).alias("shared"))
+    both = signed.join(shared, "set_id", "left")
+    return both.withColumn("set_id", F.when(F.col("shared"), F.xxhash64("set_id", "check")).otherwise(F.col("set_id"))).drop("shared")
+
+
+def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 4, tolerance: float = 1e-6, id_bits: int = 64) -> DataFrame:
     """As ngram_join(), and pick (the row's key, see row_key()) and class_pick (the key of the row that stands for the class)."""
-    signed = materialize(signatures(docs, id_col, text_col, size, bands, rows), "signatures")
-    reps = signed.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low_id"), F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "pick")).alias("low"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("n_grams").alias("n_grams"))
-    reps = materialize(reps.withColumn("pick", F.col("low.pick")), "sets")
+    signed = materialize(signatures(docs, id_col, text_col, size, bands, rows, id_bits), "signatures")
+    reps = _sets(signed)
+    while reps.filter("check <> last_check").take(1):
+        signed = materialize(_apart(signed, reps), "signatures")
+        reps = _sets(signed)
     met = connected_components(candidate_forest(reps, threshold, tolerance, bands, rows))
-    homes = met.withColumnRenamed("node", "set_id").join(reps.select("set_id", "copies", "pick", "n_grams"), "set_id")
+    homes = met.withColumnRenamed("node", "set_id").join(reps.select("set_id", "copies", "pick", "n_grams", "sketch"), "set_id")
     many = homes.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    homes = homes.join(many, "root").select("pick", "set_id", "copies", "root", "blocks")
-    links = materialize(verified_links(docs, homes, id_col, text_col, size, threshold), "links")
+    homes = materialize(homes.join(many, "root").select("pick", "set_id", "copies", "sketch", "root", "blocks"), "homes")
+    # the sketches were met once; here a pair that could still be one is never dropped
+    links = materialize(verified_links(docs, homes, id_col, text_col, size, threshold, tolerance**2, bands * rows), "links")
+    discard(homes)
     classes = connected_components(links.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
     ids = reps.select("set_id", "copies", "low_id", "low").join(classes.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     ids = ids.join(ids.groupBy("root").agg(F.min("low_id").alias("class_id"), F.min("low").alias("first")), "root")

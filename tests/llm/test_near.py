@@ -66,6 +66,13 @@ def test_join_against_brute_force(spark, monkeypatch, block):
     assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, brute(rows)))
 
 
+def test_sets_that_share_an_id_are_told_apart(spark):
+    rows = some_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = ngram_join.ngram_classes(docs, id_bits=7).select("doc_id", "class_id", "n_links").collect()
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, brute(rows)))
+
+
 def test_join_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.ngram_join(docs).collect() == []
@@ -91,6 +98,28 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_of_a_star_and_bridges(spark):
+    """A hot node, whose edges are spread, and chains that hang on it."""
+    star = [(k, 5000) for k in range(6000, 9000)] + [(k, k + 1) for k in range(100)] + [(100, 6500), (9001, 9002)]
+    found = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(star, "a long, b long").repartition(3)).collect()}
+    assert found == {**{k: 0 for k in [*range(101), 5000, *range(6000, 9000)]}, 9001: 9001, 9002: 9001}
+
+
+def test_footrule():
+    draw = np.random.default_rng(0)
+    lists = np.stack([draw.permutation(40)[:16] for _ in range(30)])
+    place = lambda x: {p: i for i, p in enumerate(x)}
+    by_hand = [sum(abs(place(x).get(p, 16) - place(lists[0]).get(p, 16)) for p in {*x, *lists[0]}) for x in lists.tolist()]
+    assert ann_permutation._footrule(lists, lists[0], 40).tolist() == by_hand
+
+
+def test_probes_follow_the_true_neighbours():
+    order = np.asarray([3, 1, 0, 2])
+    truth = [(0.9, order, np.asarray([1, 2])), (0.8, order, np.asarray([3, 0])), (0.7, order, np.asarray([2]))]
+    assert [ann_permutation.needed_probes(truth, 4, t) for t in (0.3, 0.6, 1.0)] == [1, 2, 4]
+    assert ann_permutation.needed_probes([], 4, 0.9) == 4
+
+
 def nearest_by_hand(vectors, queries, k=5):
     ids = [i for i, _ in vectors]
     x = np.asarray([v for _, v in vectors], dtype=float)
@@ -131,6 +160,18 @@ def test_index_recall(spark):
     assert len(rows) == 400 and hits / 400 >= 0.9
 
 
+def test_blocks_lose_nothing(spark):
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(600, 8))
+    x[:300] = x[0] + draw.normal(size=(300, 8)) / 50  # half of all vectors crowd on one pivot
+    data = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    ask = F.col("vec_id") % 20 == 0
+    found = [sorted(map(tuple, ann_permutation.nearest(data, ask, pivots=16, prefix=16, probes=16, part=1.0, block=b, query_block=q).select("query_id", "rank", "vec_id").collect())) for b, q in ((16384, 4096), (20, 3))]
+    assert found[0] == found[1]
+    wanted = nearest_by_hand(list(enumerate(x)), set(range(0, 600, 20)))
+    assert [(q, v) for q, _, v in found[0]] == [(q, v) for q in sorted(wanted) for _, v in wanted[q]]
+
+
 def test_index_of_nothing(spark):
     data = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
     assert ann_permutation.nearest(data, F.lit(True)).collect() == []
