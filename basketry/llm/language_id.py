@@ -11,8 +11,12 @@ aggregation of the text's soft posteriors:
 * host: P(language | host), smoothed towards its domain, itself smoothed towards all rows; a row's
   own share is left out of its host's and domain's.
 
-Tables of hosts, suffixes and declared values are joined, never collected. A row is accepted if its
-best class is a language and its posterior reaches ``least``.
+Tables of hosts, suffixes and declared values are broadcast while they are small, by their counted
+size, else joined so that a hot value's rows stay spread. A row is accepted if its best class is a
+language and its posterior reaches ``least``.
+
+Every language of the labelled rows is learned; more than ``max_languages`` raise an error, since
+the model is a table of languages by trigrams.
 
 Defined results: null text is empty and is judged by the other evidence alone, but not accepted
 without a letter; null host, suffix or declared value are one value of their kind, the declared
@@ -24,18 +28,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import bounded_batches, materialize, slices, text_bytes
+from basketry.llm.common import bounded_batches, join_hot, materialize, slices, text_bytes
 
 BUCKETS = 1 << 13
 UNKNOWN = "und"
+#: Bytes up to which a table of sums is broadcast.
+SMALL_TABLE = 16 << 20
 
 _FOLD = np.full(256, 0x20, dtype=np.uint8)
 _FOLD[0x80:] = np.arange(0x80, 0x100)
@@ -67,16 +71,18 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key[use].astype(np.int64), text[use], total[offsets[1:]] - total[offsets[:-1]]
 
 
-def text_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500, max_languages: int = 32) -> TextModel:
-    """Learn from a sample of about ``per_language`` ids of each of the ``max_languages`` most frequent languages."""
+def text_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500, max_languages: int = 1024) -> TextModel:
+    """Learn all languages, each from a sample of about ``per_language`` ids."""
     bounded_batches(labelled.sparkSession)
     known = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    found = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    found = known.groupBy("lang").count().limit(max_languages + 1).collect()
+    if len(found) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     names = sorted(r["lang"] for r in found)
+    at = {lang: k for k, lang in enumerate(names)}
     # a row is taken if its id hashes into its language's share of 2^31 values: all rows of a rare one
-    share = {r["lang"]: min(1.0, per_language / r["count"]) for r in found}
-    taken = [(F.col("lang") == lang) & (F.pmod(F.xxhash64("id"), F.lit(1 << 31)) < int(part * (1 << 31))) for lang, part in share.items()]
-    chosen = known.filter(reduce(or_, taken, F.lit(False)))
+    share = F.create_map(*(F.lit(x) for r in found for x in (r["lang"], int(min(1.0, per_language / r["count"]) * (1 << 31))))) if found else F.create_map(F.lit(""), F.lit(0))
+    chosen = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 31)) < F.element_at(share, F.col("lang")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -95,7 +101,7 @@ def text_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = chosen.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long")
     counts = np.zeros((len(names), BUCKETS))
     for r in rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
-        counts[names.index(r["lang"]), r["bucket"]] = r["n"]
+        counts[at[r["lang"]], r["bucket"]] = r["n"]
     shares = counts / np.maximum(1, counts.sum(axis=1, keepdims=True))
     # a tenth of each language's probability is spread evenly, for names, numbers and foreign words
     logs = np.log(0.9 * shares + 0.1 / BUCKETS)
@@ -125,9 +131,17 @@ def evidence(rows: DataFrame, model: TextModel, temper: float = 0.25) -> DataFra
     return rows.mapInArrow(run, f"{kept}, letters long, log array<double>, soft array<double>")
 
 
-def _sums(rows: DataFrame, keys: list[str], column: str, width: int, name: str) -> DataFrame:
-    """Element-wise sums of an array column by keys."""
-    return rows.groupBy(*keys).agg(F.array(*(F.sum(F.col(column)[k]) for k in range(width))).alias(name))
+def _sums(rows: DataFrame, keys: list[str], column: str, width: int, name: str, weight: Column | None = None) -> DataFrame:
+    """Element-wise sums of an array column by keys, and n, the rows (or the sum of ``weight``)."""
+    n = F.count("*") if weight is None else F.sum(weight)
+    return rows.groupBy(*keys).agg(F.array(*(F.sum(F.col(column)[k]) for k in range(width))).alias(name), n.alias("n"))
+
+
+def _with(rows: DataFrame, table: DataFrame, keys: list[str], total: int, width: int) -> DataFrame:
+    """``rows`` with the sums of ``table`` (keys, sums, n: how many of ``total`` rows have the key)."""
+    if table.count() * (8 * width + 64) <= SMALL_TABLE:
+        return rows.join(F.broadcast(table.drop("n")), keys)
+    return join_hot(rows, table, keys, "n", total)
 
 
 def identify(rows: DataFrame, model: TextModel, temper: float = 0.25, least: float = 0.5, host_weight: float = 5.0, domain_weight: float = 10.0, declared_weight: float = 20.0, agreement: float = 0.8, suffix_weight: float = 20.0) -> DataFrame:
@@ -141,13 +155,14 @@ def identify(rows: DataFrame, model: TextModel, temper: float = 0.25, least: flo
     seen = materialize(evidence(rows, model, temper), "languages")
     # every table below is an aggregate of all rows; hosts with their domain, and what these sum to
     hosts = materialize(_sums(seen, ["domain", "host"], "soft", width, "of_host"), "hosts")
-    domains = _sums(hosts, ["domain"], "of_host", width, "of_domain")
+    domains = materialize(_sums(hosts, ["domain"], "of_host", width, "of_domain", F.col("n")).join(hosts.groupBy("domain").agg(F.count("*").alias("hosts")), "domain"), "domains")
     # one row: what the domains sum to, which is also each language's total
-    sums = np.asarray([x or 0.0 for x in _sums(domains, [], "of_domain", width, "of_all").first()["of_all"]])
-    hosts = hosts.join(domains, "domain")
-    declared = _sums(seen, ["declared"], "soft", width, "of_declared")
-    suffixes = _sums(seen, ["suffix"], "soft", width, "of_suffix")
-    given = seen.join(hosts, ["domain", "host"]).join(declared, "declared").join(suffixes, "suffix").select("id", "declared", "letters", "log", "soft", "of_host", "of_domain", "of_declared", "of_suffix")
+    whole = _sums(domains, [], "of_domain", width, "of_all", F.col("n")).first()
+    sums, total = np.asarray([x or 0.0 for x in whole["of_all"]]), whole["n"] or 0
+    hosts = materialize(_with(hosts.withColumnRenamed("n", "own"), domains.drop("n").withColumnRenamed("hosts", "n"), ["domain"], hosts.count(), width).withColumnRenamed("own", "n"), "hosts-of-domains")
+    declared = materialize(_sums(seen, ["declared"], "soft", width, "of_declared"), "declared")
+    suffixes = materialize(_sums(seen, ["suffix"], "soft", width, "of_suffix"), "suffixes")
+    given = _with(_with(_with(seen, hosts, ["domain", "host"], total, 2 * width), declared, ["declared"], total, width), suffixes, ["suffix"], total, width).select("id", "declared", "letters", "log", "soft", "of_host", "of_domain", "of_declared", "of_suffix")
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         called = np.asarray(names, dtype=object)
