@@ -3,32 +3,37 @@
 A labelled document of quality 1 is preferred to one of quality 0. The model gives each document
 a linear score of its features, and says that a preference holds with the logistic function of
 the score difference, so that the loss is logistic on feature differences and has no intercept.
-The threshold is a quantile of the scores of labelled documents: the share of label 0. Scores are
+The threshold is a quantile of the scores of all labelled documents: the share of label 0. Scores are
 mapped to 0..1 by a logistic curve that puts this quantile at ``cut``.
 
-Fitting reads at most ``max_labelled`` labelled rows, those whose ids hash lowest; its matrices are
-of that many rows and about twenty columns. Scoring is one scan of all whole texts.
+Fitting reads at most ``max_labelled`` labelled ids, those that hash lowest; its matrices are
+of that many rows and about twenty columns. Scoring is one scan of all whole texts; the quantile is
+taken from counts of the labelled scores in bins of ``BIN``.
 
 Defined results: null text scores as the empty text does; a null id is scored, is not held out,
-and never serves as a labelled row; rows of one id that disagree on a label are all used; without
+and never serves as a labelled row; rows that repeat a labelled id serve once, by the least of their
+features; an id with both labels serves as both; without
 labels of both kinds every score is 0.5; columns other than id and text are never inputs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import bounded_batches, slices, text_of
+from basketry.llm.common import bounded_batches, materialize, slices, text_of
 from basketry.llm.quality_rules import COMMON_WORDS
 from basketry.llm.text_stats import Stats, common_table
 
 _TABLE = common_table(COMMON_WORDS)
+#: Width of the bins of raw scores, and the raw score beyond which all are in one bin.
+BIN = 1 / 512
+_FAR = 64.0
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -81,8 +86,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_pairs(x: np.ndarray, good: np.ndarray, bad_share: float, cut: float = 0.7, pairs: int = 100_000, ridge: float = 1e-3, steps: int = 25) -> Model:
-    """Weights that minimise the logistic loss of preferences of good over bad rows, by Newton steps."""
+def fit_pairs(x: np.ndarray, good: np.ndarray, bad_share: float | None = None, cut: float = 0.7, pairs: int = 100_000, ridge: float = 1e-3, steps: int = 25) -> Model:
+    """Weights that minimise the logistic loss of preferences of good over bad rows, by Newton steps.
+
+    The quantile is that of the rows given, weighted to have ``bad_share`` bad ones.
+    """
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = np.clip((x - mean) / scale, -8, 8)
     w = np.zeros(z.shape[1])
@@ -99,6 +107,7 @@ def fit_pairs(x: np.ndarray, good: np.ndarray, bad_share: float, cut: float = 0.
         if np.abs(step).max() < 1e-6:
             break
     raw = z @ w
+    bad_share = float((~good).mean()) if bad_share is None else bad_share
     weight = np.where(good, (1 - bad_share) / good.sum(), bad_share / (~good).sum())
     order = np.argsort(raw)
     below = np.cumsum(weight[order])
@@ -110,7 +119,7 @@ def fit_pairs(x: np.ndarray, good: np.ndarray, bad_share: float, cut: float = 0.
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 20_000, cut: float = 0.7) -> Model:
     """Learn from at most ``max_labelled`` labelled rows that are not held out."""
     bounded_batches(docs.sparkSession)
-    usable = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out("doc_id"))
+    usable = usable_labels(labels, id_col, label_col)
     shares = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
     # most rows go by their hash alone, so that only a little over the bound is sorted for it
     share = min(1.0, 1.2 * max_labelled / max(1, sum(shares.values())))
@@ -121,11 +130,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for part in slices(batch, "text"):
                 x = text_features(part.column("text"))
-                yield pa.RecordBatch.from_pydict({"label": part.column("label"), "x": pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))})
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "label": part.column("label"), "x": pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))})
 
-    # the chosen ids are at most max_labelled, so they may be sent everywhere; a repeated id brings its rows once each
-    rows = text_of(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(run, "label int, x array<double>")
-    found = rows.limit(4 * max_labelled).collect()
+    # the chosen ids are at most max_labelled, so they may be sent everywhere; rows that repeat one are reduced as they are found
+    rows = text_of(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    rows = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, label int, x array<double>")
+    found = rows.groupBy("doc_id", "label").agg(F.min("x").alias("x")).select("label", "x").collect()
     if not found:
         width = text_features(pa.array([""])).shape[1]
         return Model(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 0.0, 0.5)
@@ -134,18 +144,57 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return fit_pairs(x[order], good[order], shares.get(0, 0) / max(1, sum(shares.values())), cut)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, predicted (score at or above the quantile) for every row."""
+def usable_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """doc_id, label of the rows that may be learned from."""
+    rows = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+    return rows.filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out("doc_id"))
+
+
+def raw_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, raw of every row, by one scan."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.score(text_features(part.column("text"))))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.raw(text_features(part.column("text"))))], ["doc_id", "raw"])
 
     rows = text_of(docs, id_col, text_col)
-    out = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
-    return out.withColumn("predicted", (F.col("score") >= F.lit(0.7 if model.slope else 2.0)).cast("int"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, raw double")
+
+
+def with_quantile(scored: DataFrame, labels: DataFrame, model: Model, id_col: str = "doc_id", label_col: str = "quality") -> Model:
+    """``model`` with the quantile of all labelled rows' scores (``scored``: doc_id, raw).
+
+    An id's rows count by their least score, once a label, so no repeated id weighs more. Where the
+    quantile falls between two bins with nothing between them, it is halfway.
+    """
+    ids = usable_labels(labels, id_col, label_col).distinct()
+    told = scored.groupBy("doc_id").agg(F.min("raw").alias("raw")).join(ids, "doc_id")
+    binned = F.floor(F.greatest(F.lit(-_FAR), F.least(F.lit(_FAR), F.col("raw"))) / BIN).cast("int")
+    # as many rows as there are bins at most
+    found = sorted((r["bin"], r["n"], r["bad"]) for r in told.groupBy(binned.alias("bin")).agg(F.count("*").alias("n"), F.sum((F.col("label") == 0).cast("long")).alias("bad")).collect())
+    if not model.slope or not found:
+        return model
+    at, n = np.asarray([r[0] for r in found]), np.cumsum([r[1] for r in found])
+    bad = sum(r[2] for r in found)
+    k = int(np.searchsorted(n, bad))  # the first bin by whose end that many scores are reached
+    after = at[k + 1] if n[k] == bad and k + 1 < len(at) else at[k] + 1
+    return replace(model, quantile=float((at[k] + 1 + after) / 2 * BIN))
+
+
+def scores(scored: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score, predicted (score at or above the quantile) of rows doc_id, raw."""
+    z = F.lit(float(np.log(model.cut / (1 - model.cut)))) + model.slope * (F.col("raw") - model.quantile)
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+    return scored.select("doc_id", score.alias("score")).withColumn("predicted", (F.col("score") >= F.lit(0.7 if model.slope else 2.0)).cast("int"))
+
+
+def fit_whole(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 20_000, cut: float = 0.7) -> tuple[Model, DataFrame]:
+    """The fitted model with its quantile over all labelled rows, and doc_id, raw of every row."""
+    model = fit(docs, labels, id_col, text_col, label_col, max_labelled, cut)
+    scored = materialize(raw_scores(docs, model, id_col, text_col), "quality-scores")
+    return with_quantile(scored, labels, model, id_col, label_col), scored
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", cut: float = 0.7) -> DataFrame:
@@ -168,5 +217,5 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", cut: float =
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 20_000) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
-    scored = score(docs, fit(docs, labels, id_col, text_col, label_col, max_labelled), id_col, text_col)
-    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    model, scored = fit_whole(docs, labels, id_col, text_col, label_col, max_labelled)
+    return scores(scored, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
