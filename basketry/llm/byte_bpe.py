@@ -3,11 +3,16 @@
 Every distinct pre-token that a worker has not met becomes token-position rows (word, position,
 token), at first one row a byte. A recursive query joins neighbouring rows with the merge table,
 finds each word's leftmost pair of least rank, contracts it, and goes on with the words that
-changed, until none has a pair left. Words of more than ``LONG`` bytes take a query that contracts
-all non-overlapping places of that least pair in one step: the rank of a merged token is above
-the ranks of what it is made of, so these places are what the next steps would contract anyway;
-it bounds the steps by the number of distinct merges. Decoding joins ids with the vocabulary and
-concatenates the bytes by ordered aggregation.
+changed, until none has a pair left. The recursion is keyed by word and position, so that it holds
+one state and not those of all steps. Decoding joins ids with the vocabulary and concatenates the
+bytes by ordered aggregation.
+
+A word of more than ``SEGMENT`` bytes is cut into segments, each contracted as a word of its own. A
+cut stands if the tokens beside it, taken alone as one text, contract to themselves; else its two
+segments are joined and contracted again. This is exact, whatever the ranks: take the first step of
+the whole word that would contract a pair across a boundary of the result. Until then nothing
+crossed any boundary, so between the two neighbours the same steps were taken, in the same order,
+as for these two alone, and these would be contracted across the boundary too, which they are not.
 
 Nothing is shuffled; the state of a worker is a bounded cache, rebuilt from the rank file when an
 executor is lost.
@@ -29,51 +34,24 @@ from pyspark.sql import DataFrame
 from basketry.llm.common import bounded_batches, slices, text_of
 from basketry.llm.token_counts import PRE_TOKENS
 
-LONG = 48
-_WORDS_A_QUERY = 60_000
+SEGMENT = 48
+_BYTES_A_QUERY = 600_000
+_TOKENS_A_QUERY = 500_000
 
-#: One pair a step: the leftmost of least rank. State rows keep their first byte's position.
+#: One pair a step: the leftmost of least rank. Rows keep their first byte's position; -1 marks those contracted into the one before.
 _CONTRACT = """
-WITH RECURSIVE state AS (
-    SELECT word, pos, token, 0 AS step FROM letters
+WITH RECURSIVE state(word, pos, token) USING KEY (word, pos) AS (
+    SELECT word, pos, token FROM letters
   UNION ALL (
     WITH pairs AS MATERIALIZED (
         SELECT *, lead(token) OVER w AS following, lag(pos) OVER w AS before
-        FROM state WINDOW w AS (PARTITION BY word ORDER BY pos)),
+        FROM state WHERE token >= 0 WINDOW w AS (PARTITION BY word ORDER BY pos)),
     least AS (
         SELECT word, min((rank::BIGINT << 32) | pos) AS best
         FROM pairs JOIN merges ON pair = (token::BIGINT << 20) | following GROUP BY word)
-    SELECT word, pos, CASE WHEN pos = (best & 4294967295) THEN (best >> 32)::INT ELSE token END, step + 1
-    FROM pairs JOIN least USING (word)
-    WHERE before IS DISTINCT FROM (best & 4294967295)))
-SELECT word, token FROM state JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) USING (word, step)
-ORDER BY word, pos
-"""
-
-#: The same for long words, at all places of the least pair; in a run of overlapping places every other one.
-_CONTRACT_ALL = """
-WITH RECURSIVE state AS (
-    SELECT word, pos, token, 0 AS step FROM letters
-  UNION ALL (
-    WITH pairs AS MATERIALIZED (
-        SELECT *, lead(token) OVER w AS following, row_number() OVER w AS n
-        FROM state WINDOW w AS (PARTITION BY word ORDER BY pos)),
-    ranked AS MATERIALIZED (
-        SELECT word, pos, n, rank FROM pairs JOIN merges ON pair = (token::BIGINT << 20) | following),
-    least AS (SELECT word, min(rank) AS rank FROM ranked GROUP BY word),
-    places AS (
-        SELECT word, n, rank, n - row_number() OVER (PARTITION BY word ORDER BY n) AS run
-        FROM ranked JOIN least USING (word, rank)),
-    chosen AS MATERIALIZED (
-        SELECT word, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY word, run ORDER BY n) AS k FROM places)
-        WHERE k % 2 = 1)
-    SELECT p.word, p.pos, coalesce(c.rank, p.token)::INT, p.step + 1
-    FROM pairs p JOIN least l ON l.word = p.word
-    LEFT JOIN chosen c ON c.word = p.word AND c.n = p.n
-    LEFT JOIN chosen g ON g.word = p.word AND g.n = p.n - 1
-    WHERE g.n IS NULL))
-SELECT word, token FROM state JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) USING (word, step)
-ORDER BY word, pos
+    SELECT word, pos, CASE WHEN pos = (best & 4294967295) THEN (best >> 32)::INT WHEN before = (best & 4294967295) THEN -1 ELSE token END
+    FROM pairs JOIN least USING (word)))
+SELECT word, token FROM state WHERE token >= 0 ORDER BY word, pos
 """
 
 #: Bytes stand for the characters U+0000 to U+00FF while they are strings in DuckDB.
@@ -97,7 +75,7 @@ class Codec:
 
         ranks = read_ranks(path)
         self.find, self.room = regex.compile(PRE_TOKENS).findall, cache_entries
-        self.db = duckdb.connect(config={"threads": "1", "memory_limit": f"{memory_mb}MB", "preserve_insertion_order": "false"})
+        self.db = duckdb.connect(config={"threads": "1", "memory_limit": f"{memory_mb}MB", "preserve_insertion_order": "false", "temp_directory": ""})
         self.byte = np.asarray([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         pairs, merged = [], []
         for token, rank in ranks.items():
@@ -108,6 +86,7 @@ class Codec:
                     merged.append(rank)
         self._table("merges", pair=pa.array(pairs, pa.int64()), rank=pa.array(merged, pa.int32()))
         self._table("vocabulary", token=pa.array(list(ranks.values()), pa.int32()), piece=pa.array([t.decode("latin-1") for t in ranks]))
+        self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.decimal = [str(n) for n in range(max(ranks.values()) + 1)]
         self.ids: dict[str, bytes] = {}
 
@@ -116,18 +95,50 @@ class Codec:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _contract(self, words: list[bytes], query: str) -> list[bytes]:
-        raw = np.frombuffer(b"".join(words), dtype=np.uint8)
-        sizes = np.asarray([len(w) for w in words])
-        begin = np.cumsum(sizes) - sizes
-        pos = np.arange(len(raw)) - np.repeat(begin, sizes)
-        rows = pa.table({"word": pa.array(np.repeat(np.arange(len(words), dtype=np.int32), sizes)), "pos": pa.array(pos.astype(np.int32)), "token": pa.array(self.byte[raw])})
-        self.db.register("letters", rows)
-        found = self.db.sql(query).to_arrow_table()
-        self.db.unregister("letters")
-        cuts = (4 * np.searchsorted(found.column("word").to_numpy(), np.arange(len(words) + 1))).tolist()
-        flat = found.column("token").to_numpy().astype("<u4").tobytes()
-        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+    def _contract(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, by the recursive query, some hundred thousand bytes at a time."""
+        out: list[bytes] = []
+        sizes = np.asarray([len(w) for w in words], dtype=np.int64)
+        part = np.cumsum(sizes) // _BYTES_A_QUERY
+        for lo, hi in zip(*(np.searchsorted(part, np.unique(part), side=s).tolist() for s in ("left", "right"))):
+            size = sizes[lo:hi]
+            raw = np.frombuffer(b"".join(words[lo:hi]), dtype=np.uint8)
+            pos = np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size)
+            rows = pa.table({"word": pa.array(np.repeat(np.arange(hi - lo, dtype=np.int32), size)), "pos": pa.array(pos.astype(np.int32)), "token": pa.array(self.byte[raw])})
+            self.db.register("letters", rows)
+            found = self.db.sql(_CONTRACT).to_arrow_table()
+            self.db.unregister("letters")
+            cuts = (4 * np.searchsorted(found.column("word").to_numpy(), np.arange(hi - lo + 1))).tolist()
+            flat = found.column("token").to_numpy().astype("<u4").tobytes()
+            out += [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
+    def _contract_long(self, words: list[bytes]) -> list[bytes]:
+        """The same for words of any length, in segments whose cuts are proved."""
+        parts = [[w[at : at + SEGMENT] for at in range(0, len(w), SEGMENT)] for w in words]
+        known: dict[bytes, bytes] = {}
+        stands: dict[tuple[bytes, bytes], bool] = {}
+        open_ = list(range(len(words)))
+        while open_:
+            new = list({p for k in open_ for p in parts[k]}.difference(known))
+            known.update(zip(new, self._contract(new)))
+            sides = {k: [(known[a][-4:], known[b][:4]) for a, b in zip(parts[k], parts[k][1:])] for k in open_}
+            pairs = list({x for own in sides.values() for x in own}.difference(stands))
+            texts = [self.bytes_of[int.from_bytes(a, "little")] + self.bytes_of[int.from_bytes(b, "little")] for a, b in pairs]
+            stands.update((x, found == x[0] + x[1]) for x, found in zip(pairs, self._contract(texts)))
+            still = []
+            for k in open_:
+                joined, at = [], 0
+                while at < len(parts[k]):
+                    # of three that hang together two are joined now: a run of one letter then grows by doubling
+                    two = at < len(sides[k]) and not stands[sides[k][at]]
+                    joined.append(parts[k][at] + parts[k][at + 1] if two else parts[k][at])
+                    at += 2 if two else 1
+                if len(joined) < len(parts[k]):
+                    still.append(k)
+                parts[k] = joined
+            open_ = still
+        return [b"".join(known[p] for p in own) for own in parts]
 
     def learn(self, words: set[str]) -> None:
         missing = list(words.difference(self.ids))
@@ -135,11 +146,8 @@ class Codec:
             self.ids = {}
             missing = list(words)
         coded = [w.encode() for w in missing]
-        short = [k for k, w in enumerate(coded) if len(w) <= LONG]
-        for keys, query, size in ((short, _CONTRACT, _WORDS_A_QUERY), ([k for k, w in enumerate(coded) if len(w) > LONG], _CONTRACT_ALL, 64)):
-            for at in range(0, len(keys), size):
-                part = keys[at : at + size]
-                self.ids.update(zip([missing[k] for k in part], self._contract([coded[k] for k in part], query)))
+        for some, contract in (([k for k, w in enumerate(coded) if len(w) <= SEGMENT], self._contract), ([k for k, w in enumerate(coded) if len(w) > SEGMENT], self._contract_long)):
+            self.ids.update(zip([missing[k] for k in some], contract([coded[k] for k in some])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as little-endian 32-bit bytes."""
@@ -154,16 +162,20 @@ class Codec:
 
     def decode(self, coded: list[bytes]) -> list[bytes]:
         """The bytes that each sequence of ids stands for."""
-        token = np.frombuffer(b"".join(coded), dtype="<u4").astype(np.int32)
-        doc = np.repeat(np.arange(len(coded), dtype=np.int32), [len(c) // 4 for c in coded])
-        rows = pa.table({"doc": pa.array(doc), "n": pa.array(np.arange(len(token), dtype=np.int32)), "token": pa.array(token)})
-        self.db.register("ids", rows)
-        found = self.db.sql(_DECODE).fetchall()
-        self.db.unregister("ids")
-        out = [b""] * len(coded)
-        for k, text in found:
-            out[k] = text.encode("latin-1")
-        return out
+        # long ones in stretches, and some stretches a query, so that a query's memory is bounded
+        stretches = [(k, c[at : at + 4 * _TOKENS_A_QUERY]) for k, c in enumerate(coded) for at in range(0, len(c), 4 * _TOKENS_A_QUERY)]
+        sizes = np.asarray([len(c) // 4 for _, c in stretches], dtype=np.int64)
+        part = np.cumsum(sizes) // _TOKENS_A_QUERY
+        out: list[list[bytes]] = [[] for _ in coded]
+        for lo, hi in zip(*(np.searchsorted(part, np.unique(part), side=s).tolist() for s in ("left", "right"))):
+            token = np.frombuffer(b"".join(c for _, c in stretches[lo:hi]), dtype="<u4").astype(np.int32)
+            rows = pa.table({"doc": pa.array(np.repeat(np.arange(hi - lo, dtype=np.int32), sizes[lo:hi])), "n": pa.array(np.arange(len(token), dtype=np.int32)), "token": pa.array(token)})
+            self.db.register("ids", rows)
+            found = dict(self.db.sql(_DECODE).fetchall())
+            self.db.unregister("ids")
+            for k in range(lo, hi):
+                out[stretches[k][0]].append(found[k - lo].encode("latin-1"))
+        return [b"".join(own) for own in out]
 
 
 def codec(path: str, cache_entries: int = 1_400_000) -> Codec:

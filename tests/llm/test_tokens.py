@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import random
 import zlib
 
 import numpy as np
@@ -61,6 +62,27 @@ def test_long_words_contract_as_the_library_does(word):
     assert np.frombuffer(codec.encode([word])[0], "<u4").tolist() == library.encode_ordinary(word)
 
 
+def test_random_words_of_any_length():
+    path = P.path("byte_bpe_50k.tiktoken")
+    codec = byte_bpe.Codec(path)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+    draw = random.Random(3)
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "aeiou", "theing", "abAB", "=-_", "日本é語", "acgt"]
+    words = ["".join(draw.choices(draw.choice(kinds), k=draw.randint(1, 260))) for _ in range(2000)]
+    words += ["".join(draw.choices(kinds[0], k=20_000)), "".join(draw.choices(["the", "ing", "tion", "er"], k=2000)), " " * 500 + "x"]
+    coded = codec.encode(words)
+    assert [np.frombuffer(c, "<u4").tolist() for c in coded] == [library.encode_ordinary(w) for w in words]
+    assert codec.decode(coded) == [w.encode() for w in words]
+
+
+def test_decoding_in_stretches(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "_TOKENS_A_QUERY", 7)
+    monkeypatch.setattr(byte_bpe, "_BYTES_A_QUERY", 50)
+    codec = byte_bpe.Codec(P.path("byte_bpe_50k.tiktoken"))
+    texts = ["one two three four five six seven eight nine ten " * 3, "", "é", "x" * 200]
+    assert codec.decode(codec.encode(texts)) == [t.encode() for t in texts]
+
+
 def pieces_of(texts, capacity=4096):
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     for d, t in texts:
