@@ -16,8 +16,32 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_names():
     import __spark_entry__
 
-    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{k}" for k in range(1, 11)), "pipeline"}
-    assert set(QUERIES) <= set(__spark_entry__.queries())
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {*QUERIES, "pipeline"} <= set(__spark_entry__.queries())
+
+
+def test_other_queries_without_what_the_corpus_operators_need(monkeypatch):
+    import sys
+
+    import __spark_entry__
+
+    for name in [m for m in sys.modules if m.startswith("basketry.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "public_tokenizers", None)
+    assert "rules_brand" in __spark_entry__.queries() and "pipeline" not in __spark_entry__.queries()
+    assert not any(n.startswith("op") for n in __spark_entry__.oracle_sql())
+
+
+def test_rows_that_differ_in_other_columns_alone(spark):
+    text = "The same words stand here again and again, for as long as a text of its own needs them to be. " * 4
+    schema = "doc_id long, text string, lang string, source string, row_key int, _row_key int"
+    rows = [(1, text, "en", None, 1, 5), (1, text, None, "en", 2, 4), (1, text, "en", "b", 3, 3), (2, None, "en", "x", 0, 0)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, schema).repartition(3)
+        kept = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+        assert kept.columns == docs.columns
+        assert sorted(map(tuple, kept.collect())) == [(1, text, "en", None, 1, 5), (2, None, "en", "x", 0, 0)]
+        assert corpus_pipeline.language_stage(spark, docs, SF).columns == docs.columns
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -30,7 +54,7 @@ def test_stages(spark, tmp_path):
     for name in os.listdir(SF):
         shutil.copy(f"{SF}/{name}", tmp_path / name)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    odd = spark.createDataFrame([(9001, None, "en", "src1", 0), (9002, "", None, None, None), (None, "The and of it in that the house. " * 20, "en", "src1", 5)], docs.schema)
+    odd = spark.createDataFrame([(9003, "the house and all of that " * 60_000 + "x" * 50_000, "en", "long", 1), (9001, None, "en", "src1", 0), (9002, "", None, None, None), (None, "The and of it in that the house. " * 20, "en", "src1", 5)], docs.schema)
     rows = docs.unionByName(odd).unionByName(docs.limit(20))
     before = None
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):

@@ -171,6 +171,55 @@ def test_language_of_short_documents_follows_other_evidence(spark, languages):
     assert language_id.text_model(empty).languages == []
 
 
+def test_all_languages_are_learned(spark):
+    draw = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k}": ["".join(draw.choices(letters, k=5)) for _ in range(30)] for k in range(40)}
+    rows = [(40 * n + k, " ".join(draw.choices(words[f"l{k}"], k=60)), f"l{k}", "h") for n in range(3) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language_id.text_model(docs)
+    assert len(model.languages) == 40
+    found = {r["id"]: r["text_language"] for r in language_id.identify(language_id.document_rows(docs), model).collect()}
+    assert all(found[d] == lang for d, _, lang, _ in rows)
+    with pytest.raises(ValueError):
+        language_id.text_model(docs, max_languages=39)
+
+
+@pytest.mark.parametrize("small", [1 << 24, 0])
+def test_fusion_by_hand(spark, languages, monkeypatch, small):
+    """What identify() says against the formulas, row by row, with tables broadcast or joined."""
+    monkeypatch.setattr(language_id, "SMALL_TABLE", small)
+    draw = random.Random(13)
+    rows = []
+    for k in range(60):
+        lang = draw.choice(list(SAMPLES))
+        words = SAMPLES[lang].split()
+        host = draw.choice(["a.x.com", "a.x.com", "a.x.com", "b.x.com", "c.y.de", None])
+        rows.append((k, " ".join(draw.choices(words, k=draw.choice([0, 1, 2, 30]))), draw.choice([lang, lang, "en", "zz", None]), (host or "").rsplit(".", 1)[-1], ".".join((host or "").split(".")[-2:]), host))
+    frame = spark.createDataFrame(rows, "id long, text string, declared string, suffix string, domain string, host string").repartition(3)
+    seen = {r["id"]: r for r in language_id.evidence(frame, languages).collect()}
+    names = [*languages.languages, "und"]
+    soft = {k: np.asarray(r["soft"]) for k, r in seen.items()}
+    total = sum(soft.values())
+    same = lambda c, row: sum(soft[r[0]] for r in rows if (r[c] or "") == (row[c] or ""))
+    for r in language_id.identify(frame, languages).collect():
+        row = rows[r["id"]]
+        everywhere = (total + 1) / (total.sum() + 4)
+        domain = np.maximum(0, same(4, row) - soft[r["id"]]) + 10 * everywhere
+        host = np.maximum(0, same(5, row) - soft[r["id"]]) + 5 * domain / domain.sum()
+        agree = np.asarray([0.8 if row[2] == n else 0.2 / 3 for n in names]) if row[2] in names else np.full(4, 0.25)
+        declared = np.log((same(2, row) + 20 * agree) / (total + 20)) if row[2] else 0
+        suffix = np.log((same(3, row) + 20 * same(3, row).sum() / total.sum()) / (total + 20))
+        value = np.exp(np.asarray(seen[r["id"]]["log"]) + np.log(host / host.sum()) + declared + suffix)
+        assert r["language"] == names[int(value.argmax())] and r["confidence"] == pytest.approx(value.max() / value.sum(), abs=1e-9)
+        assert r["accepted"] == bool(r["language"] != "und" and r["confidence"] >= 0.5 and row[1])
+
+
+def test_language_of_a_very_long_text(spark, languages):
+    docs = spark.createDataFrame([(1, SAMPLES["de"] * 60_000, None, "h")], "doc_id long, text string, lang string, source string")
+    assert [(r["language"], r["accepted"]) for r in language_id.identify(language_id.document_rows(docs), languages).collect()] == [("de", True)]
+
+
 # --- quality
 
 
@@ -221,6 +270,31 @@ def test_divergence_drops_junk_alone(spark):
     assert not kept & {d for d, _, _ in bad} and len(kept) >= 78
 
 
+def test_verdict_does_not_depend_on_how_rows_are_dealt(spark):
+    draw = random.Random(10)
+    rows = [(k, prose(draw, draw.randint(40, 200)), draw.choice(["en", "en", "xx", "rare", None])) for k in range(150)] + [(k, "x # y " * 40, "xx") for k in range(900, 910)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").persist()
+    told = [sorted(map(repr, quality_rules.quality_rules(docs.repartition(n), min_documents=20).collect())) for n in (1, 9)]
+    assert told[0] == told[1]
+    assert "all others" in told[0][0] + told[0][-1] + "".join(told[0])
+
+
+def test_rules_against_their_sql(spark):
+    import duckdb
+
+    draw = random.Random(14)
+    rows = [(k, prose(draw, draw.randint(40, 300)) + draw.choice(["", "\nEnd.", "\n\nEnd.\nEnd."]), draw.choice(["en", "de", None])) for k in range(200)] + texts()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    con = duckdb.connect()
+    con.register("docs", docs.toPandas())
+    columns = ["doc_id", "language", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kinds_distance", "words_distance", "kept"]
+    ours = [tuple(r) for r in quality_rules.quality_rules(docs).select(*columns).collect()]
+    theirs = con.sql(f"SELECT {', '.join(columns)} FROM ({quality_rules.oracle('docs')})").fetchall()
+    assert len({r[-1] for r in ours}) == 2
+    key = lambda rows: sorted(repr(tuple(None if x != x else x for x in r)) for r in rows)
+    assert key(ours) == key((None if r[0] is None or r[0] != r[0] else int(r[0]), *r[1:]) for r in theirs)
+
+
 def test_jensen_shannon(spark):
     row = spark.range(1).select(quality_rules.jensen_shannon(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0))).alias("far"), quality_rules.jensen_shannon(F.array(F.lit(0.25), F.lit(0.75)), F.array(F.lit(0.25), F.lit(0.75))).alias("same")).first()
     assert (row["far"], row["same"]) == (pytest.approx(1), pytest.approx(0))
@@ -243,6 +317,34 @@ def test_classifier_learns_and_never_sees_held_out_labels(spark):
     assert all(again[k] == pytest.approx(found[k]["score"], abs=1e-9) for k in again)
 
 
+def test_classifier_takes_each_labelled_id_once(spark):
+    draw = random.Random(21)
+    rows = [(k, prose(draw, 80) if k % 2 else "## " + prose(draw, 40).replace(" ", " # ")) for k in range(120)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(120)], "doc_id long, quality int")
+    hot = [(1, prose(draw, 80)) for _ in range(300)]
+    model = lambda rs: quality_classifier.fit_whole(spark.createDataFrame(rs, "doc_id long, text string").repartition(5), labels, max_labelled=60)[0]
+    first, again = model(rows + hot), model(hot[::-1] + rows[::-1])
+    assert np.array_equal(first.weights, again.weights) and first.quantile == again.quantile
+    # the quantile parts the labels of rows beyond those that were learned from
+    found = quality_classifier.quality_classifier(spark.createDataFrame(rows, "doc_id long, text string"), labels, max_labelled=60).collect()
+    assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in found]) > 0.97
+    long = spark.createDataFrame([*rows, (500, rows[1][1] * 5000), (500, rows[1][1] * 5000)], "doc_id long, text string")
+    found = quality_classifier.quality_classifier(long, labels).filter("doc_id = 500").collect()
+    assert len(found) == 2 and found[0] == found[1] and 0 <= found[0]["score"] <= 1
+
+
+def test_weights_minimise_the_pairwise_loss():
+    draw = np.random.default_rng(2)
+    x, good = draw.normal(size=(300, 4)), draw.random(300) < 0.6
+    x[good, 1] += 1
+    model = quality_classifier.fit_pairs(x, good, pairs=20_000)
+    z = np.clip((x - model.mean) / model.scale, -8, 8)
+    again = np.random.default_rng(7)
+    d = z[again.choice(np.flatnonzero(good), 20_000)] - z[again.choice(np.flatnonzero(~good), 20_000)]
+    loss = lambda w: np.log1p(np.exp(-d @ w)).mean() + 0.5e-3 * w @ w
+    assert all(loss(model.weights) < loss(model.weights + 0.01 * step) for step in draw.normal(size=(40, 4)))
+
+
 def test_classifier_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
