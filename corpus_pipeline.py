@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.llm import best_fit_packing, language_id, ngram_join, quality_classifier
-from basketry.llm.common import materialize
+from basketry.llm.common import discard, materialize
 
 #: Keys (8 bytes each) that may be broadcast.
 FEW_KEYS = 2_000_000
@@ -27,16 +27,26 @@ def _without(docs: DataFrame, key: Column, dropped: DataFrame) -> DataFrame:
     return docs.join(named, key == named["_dropped_key"], "left_anti")
 
 
+def _new_name(docs: DataFrame) -> str:
+    """A name that no column has."""
+    name = "row_key"
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents at or above the score quantile."""
-    model = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model, _ = quality_classifier.fit_whole(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_classifier.accepted(docs, model)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified."""
-    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")), "lang", "source")
-    rows = language_id.document_rows(docs.withColumn("_row_key", key), id_col="_row_key")
+    # nulls are hashed by flags of their own, as the hash itself skips them
+    key = F.xxhash64(*(x for c in ("doc_id", "text", "lang", "source") for x in (F.col(c), F.col(c).isNull())))
+    name = _new_name(docs)
+    rows = language_id.document_rows(docs.withColumn(name, key), id_col=name)
     found = language_id.identify(rows, language_id.text_model(docs))
     return _without(docs, key, found.filter(~F.col("accepted")).select(F.col("id").alias("key")))
 
@@ -51,7 +61,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if not twice.take(1):
         return kept
     once = _without(kept, key, twice)
-    again = kept.withColumn("_row_key", key).join(twice, F.col("_row_key") == twice["key"], "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")
+    # of rows that differ in other columns alone, the first one in the order of their JSON stands
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    several = kept.select(key.alias("key"), row.alias("row")).join(twice, "key", "left_semi")
+    again = several.groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
     return once.unionByName(again)
 
 
@@ -76,7 +89,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        rows = stage(spark, rows, sf_dir)
+        before, rows = rows, stage(spark, rows, sf_dir)
         if k < len(STAGES) - 1:
             rows = materialize(rows, name.replace(" ", "-"))
+        discard(before)  # the last stage has written its pieces by now
     return rows
