@@ -11,8 +11,12 @@ def basket_items(data: Column, separator: str = ",") -> Column:
     return F.filter(F.transform(F.split(data, separator), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def words(text: Column, pattern: str = "[a-z]{4,}") -> Column:
-    """Lower-case words in order; the pattern is what stands in for a segmenter and its word classes."""
+#: What stands in for a segmenter and its word classes: four letters or more, of any script.
+WORD = r"\p{L}{4,}"
+
+
+def words(text: Column, pattern: str = WORD) -> Column:
+    """Lower-case words in order."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
 
 

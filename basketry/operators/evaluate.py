@@ -14,6 +14,11 @@ def errors(predicted: DataFrame, test: DataFrame, train: DataFrame, value: str =
     return both.agg(F.round(F.avg(F.abs(off)), 6).alias("mae"), F.round(F.sqrt(F.avg(off * off)), 6).alias("rmse"), F.count("*").alias("n"))
 
 
+def best_of(grid: DataFrame) -> DataFrame:
+    """The row of grid_search() of least mae; ties go to the smallest thresholds and alpha."""
+    return grid.orderBy("mae", "user_threshold", "item_threshold", "alpha").limit(1)
+
+
 def grid_search(by_users: DataFrame, by_items: DataFrame, test: DataFrame, train: DataFrame, alphas: list[float], thresholds: list[float] | None = None) -> DataFrame:
     """user_threshold, item_threshold, alpha, mae of every combination.
 

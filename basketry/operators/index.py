@@ -8,20 +8,43 @@ shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.operators.dictionary import with_places
+from basketry.storage import join_hot
+
 
 def build(rows: DataFrame) -> DataFrame:
-    """item, key_info, record_id: each item and record once; an item's least key_info is kept with it."""
-    info = F.col("key_info") if "key_info" in rows.columns else F.lit(None).cast("string")
-    postings = rows.select("item", "record_id", info.alias("key_info")).groupBy("item", "record_id").agg(F.min("key_info").alias("key_info"))
-    return postings.select("item", "key_info", "record_id")
+    """item, key_info, record_id: each item and record once.
+
+    An item's key_info is the one it came with first: that of its least ``seq`` if there is such a
+    column, else of its least record; ties go to the least key_info.
+    """
+    if "key_info" not in rows.columns:
+        return rows.select("item", F.lit(None).cast("string").alias("key_info"), "record_id").distinct()
+    seq = F.col("seq") if "seq" in rows.columns else F.col("record_id")
+    told = rows.select("item", "record_id", F.struct(seq.alias("seq"), F.col("key_info").alias("info")).alias("came"))
+    first = told.groupBy("item").agg(F.min("came").alias("first"), F.count("*").alias("n"))
+    postings = told.select("item", "record_id").distinct()
+    total = rows.count()
+    return join_hot(postings, first.select("item", F.col("first.info").alias("key_info"), "n"), ["item"], "n", total).select("item", "key_info", "record_id")
+
+
+def write(index: DataFrame, table: str, buckets: int = 64, path: str | None = None) -> None:
+    """Save an index as a table bucketed and sorted by item, under ``path`` if it is given."""
+    writer = index.write.mode("overwrite").bucketBy(buckets, "item").sortBy("item", "record_id")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
+def local_catalogs(index: DataFrame, parts: int) -> DataFrame:
+    """part, item, df: what each of ``parts`` shares of the records holds of an item."""
+    return index.groupBy(F.pmod(F.xxhash64("record_id"), F.lit(parts)).cast("int").alias("part"), "item").agg(F.count("*").alias("df"))
 
 
-def write(index: DataFrame, table: str, buckets: int = 64) -> None:
-    """Save an index as a table bucketed and sorted by item."""
-    index.write.mode("overwrite").bucketBy(buckets, "item").sortBy("item", "record_id").saveAsTable(table)
+def consolidate(catalogs: DataFrame) -> DataFrame:
+    """item, df over all parts of local_catalogs()."""
+    return catalogs.groupBy("item").agg(F.sum("df").alias("df"))
 
 
 def document_frequencies(index: DataFrame) -> DataFrame:
@@ -36,7 +59,7 @@ def find_records(index: DataFrame, item: str) -> DataFrame:
 
 def ranked_postings(index: DataFrame) -> DataFrame:
     """item, record_id, place: an item's records from the last one down."""
-    return index.select("item", "record_id", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("record_id"))).alias("place"))
+    return with_places(index.select("item", "record_id"), "item", F.col("record_id").desc(), "place")
 
 
 def intersect(index: DataFrame, items: list[str]) -> DataFrame:

@@ -1,8 +1,10 @@
 """Frequent itemsets, level by level.
 
-All strategies return k, itemset (ascending array), support, and agree. Baskets are reduced to
-frequent items first. Levels loop on the driver, at most ``max_k`` times; all else is joins on the
-basket and aggregates that combine on the map side.
+All strategies return k, itemset (ascending array), support, and agree. Items that can't be frequent
+go before any basket is put together; what is left of a basket is one array, so pairs and longer
+itemsets are made inside rows, without a join on the basket, and counted by aggregates that combine
+on the map side. Levels loop on the driver, at most ``max_k`` times. Each level's rows are written
+once and deleted when the next level is made from them. Rows without a basket or an item don't count.
 """
 
 from __future__ import annotations
@@ -14,6 +16,10 @@ from pyspark.sql import functions as F
 
 from basketry.functions.sets import subsets_of_size_less_one
 from basketry.params import MiningParams
+from basketry.storage import discard, materialize
+
+#: Items or itemsets that are sent to all tasks; beyond that, joins are shuffled.
+FEW = 200_000
 
 
 @dataclass
@@ -25,13 +31,25 @@ class Frequent:
     least: int
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """``rows``, to be broadcast if they are counted as few."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def _start(occ: DataFrame, params: MiningParams) -> tuple[DataFrame, DataFrame, int, int]:
-    """Distinct occurrences of frequent items; frequent items; baskets; least support."""
-    base = occ.select("tid", "item").distinct().persist()
-    baskets = base.select("tid").distinct().count()
+    """tid, items (ascending) of baskets, reduced to items that may be frequent; frequent items; baskets; least support."""
+    rows = occ.select("tid", "item").filter(F.col("tid").isNotNull() & F.col("item").isNotNull())
+    no_tid, no_item = (F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("tid", "item"))
+    # one scan gives the baskets and how often each item occurs, which is no less than in how many baskets
+    each = rows.select(F.inline(F.array(F.struct(F.col("tid"), no_item), F.struct(no_tid, F.col("item")))))
+    seen = materialize(each.groupBy("tid", "item").agg(F.count("*").alias("n")), "seen")
+    baskets = seen.filter(F.col("item").isNull()).count()
     least = params.least_count(baskets)
-    items = base.groupBy("item").agg(F.count("*").alias("support")).filter(F.col("support") >= least).persist()
-    return base.join(items.select("item"), "item", "left_semi").persist(), items, baskets, least
+    often = seen.filter(F.col("item").isNotNull() & (F.col("n") >= least)).select("item")
+    base = materialize(rows.join(_few(often), "item", "left_semi").groupBy("tid").agg(F.array_sort(F.collect_set("item")).alias("items")), "baskets")
+    discard(seen)
+    items = base.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("support"))
+    return base, materialize(items.filter(F.col("support") >= least), "items"), baskets, least
 
 
 def candidates(level: DataFrame) -> DataFrame:
@@ -45,33 +63,37 @@ def candidates(level: DataFrame) -> DataFrame:
     return held.groupBy("itemset").agg(F.count("*").alias("n")).filter(F.col("n") == F.size("itemset")).select("itemset")
 
 
-def _pairs(occ: DataFrame) -> DataFrame:
-    a, b = occ.alias("a"), occ.alias("b")
-    rows = a.join(b, (F.col("a.tid") == F.col("b.tid")) & (F.col("a.item") < F.col("b.item")))
-    return rows.select(F.col("a.tid").alias("tid"), F.array("a.item", "b.item").alias("itemset"))
+def _pairs(base: DataFrame) -> DataFrame:
+    """tid, items, itemset of every two items of a basket; made one after the other, never all of a basket at once."""
+    first = base.select("tid", "items", F.posexplode("items").alias("at", "first"))
+    later = F.slice("items", F.col("at") + 2, F.greatest(F.size("items") - F.col("at") - 1, F.lit(0)))
+    return first.select("tid", "items", "first", F.explode(later).alias("second")).select("tid", "items", F.array("first", "second").alias("itemset"))
+
+
+def _longer(rows: DataFrame) -> DataFrame:
+    """``rows`` (tid, items, itemset) with each later item of the basket added."""
+    more = F.explode(F.filter("items", lambda x: x > F.element_at("itemset", -1)))
+    return rows.select("tid", "items", "itemset", more.alias("more")).select("tid", "items", F.concat("itemset", F.array("more")).alias("itemset"))
 
 
 def _levels(occ: DataFrame, params: MiningParams, pair_filter=None) -> Frequent:
     base, items, baskets, least = _start(occ, params)
     level = items.select(F.lit(1).alias("k"), F.array("item").alias("itemset"), "support")
-    found, rows = level, None
+    found, held = level, base
     for k in range(2, params.max_k + 1):
         if k == 2:
-            rows = _pairs(base)
-            if pair_filter is not None:
-                rows = pair_filter(rows, least)
+            rows = _pairs(base) if pair_filter is None else pair_filter(_pairs(base), least)
         else:
-            wanted = candidates(level)
-            longer = rows.join(base, "tid").filter(F.col("item") > F.element_at("itemset", -1))
-            longer = longer.select("tid", F.concat("itemset", F.array("item")).alias("itemset"))
-            rows = longer.join(wanted, "itemset", "left_semi")
+            rows = _longer(held).join(_few(materialize(candidates(level), "candidates")), "itemset", "left_semi")
         level = rows.groupBy("itemset").agg(F.count("*").alias("support")).filter(F.col("support") >= least)
-        level = level.select(F.lit(k).alias("k"), "itemset", "support").persist()
+        level = materialize(level.select(F.lit(k).alias("k"), "itemset", "support"), "level")
         if level.isEmpty():
             break
         found = found.union(level)
         if k < params.max_k:
-            rows = rows.join(level.select("itemset"), "itemset", "left_semi")
+            before, held = held, materialize(rows.join(_few(level.select("itemset")), "itemset", "left_semi").select("tid", "items", "itemset"), "held")
+            discard(before)
+    discard(held)
     return Frequent(found, baskets, least)
 
 
@@ -86,7 +108,8 @@ def dhp(occ: DataFrame, params: MiningParams, buckets: int = 1 << 16) -> Frequen
     def heavy(rows: DataFrame, least: int) -> DataFrame:
         rows = rows.withColumn("bucket", F.pmod(F.xxhash64("itemset"), F.lit(buckets)))
         kept = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("bucket")
-        return rows.join(kept, "bucket", "left_semi").drop("bucket")
+        # no more rows than buckets
+        return rows.join(_few(materialize(kept, "buckets")), "bucket", "left_semi").drop("bucket")
 
     return _levels(occ, params, heavy)
 
@@ -96,9 +119,9 @@ def fp_growth(occ: DataFrame, params: MiningParams) -> Frequent:
     from pyspark.ml.fpm import FPGrowth
 
     base, _, baskets, least = _start(occ, params)
-    rows = base.groupBy("tid").agg(F.collect_list("item").alias("items"))
-    # half a basket below the count: the miner rounds its threshold up
-    model = FPGrowth(itemsCol="items", minSupport=max(0.0, (least - 0.5) / max(1, baskets))).fit(rows)
+    # half a basket below the count: the miner rounds its threshold up. It counts the rows it is given, which are those with a frequent item
+    rows = base.count()
+    model = FPGrowth(itemsCol="items", minSupport=max(0.0, (least - 0.5) / max(1, rows))).fit(base)
     sets = model.freqItemsets.filter(F.size("items") <= params.max_k)
     return Frequent(sets.select(F.size("items").alias("k"), F.array_sort("items").alias("itemset"), F.col("freq").alias("support")), baskets, least)
 
@@ -106,7 +129,7 @@ def fp_growth(occ: DataFrame, params: MiningParams) -> Frequent:
 def _postings(base: DataFrame, chunk_baskets: int, baskets: int) -> DataFrame:
     """item, chunk, tids: posting lists cut by a hash of the basket into chunks of bounded length."""
     chunks = max(1, -(-baskets // chunk_baskets))
-    return base.groupBy("item", F.pmod(F.xxhash64("tid"), F.lit(chunks)).alias("chunk")).agg(F.collect_list("tid").alias("tids"))
+    return base.select("tid", F.explode("items").alias("item")).groupBy("item", F.pmod(F.xxhash64("tid"), F.lit(chunks)).alias("chunk")).agg(F.collect_list("tid").alias("tids"))
 
 
 def vertical(occ: DataFrame, params: MiningParams, chunk_baskets: int = 1 << 14) -> Frequent:
@@ -116,22 +139,29 @@ def vertical(occ: DataFrame, params: MiningParams, chunk_baskets: int = 1 << 14)
     one task, and the chunks' counts are summed.
     """
     base, items, baskets, least = _start(occ, params)
-    lists = _postings(base, chunk_baskets, baskets).persist()
+    lists = materialize(_postings(base, chunk_baskets, baskets), "postings")
     level = items.select(F.lit(1).alias("k"), F.array("item").alias("itemset"), "support")
     found, held = level, lists.select(F.array("item").alias("itemset"), "chunk", "tids")
     for k in range(2, params.max_k + 1):
         wanted = candidates(level).withColumn("prefix", F.slice("itemset", 1, k - 1)).withColumn("item", F.element_at("itemset", -1))
         rows = wanted.join(held.withColumnRenamed("itemset", "prefix"), "prefix").join(lists.withColumnRenamed("tids", "more"), ["item", "chunk"])
-        rows = rows.select("itemset", "chunk", F.array_intersect("tids", "more").alias("tids")).filter(F.size("tids") > 0).persist()
+        rows = rows.select("itemset", "chunk", F.array_intersect("tids", "more").alias("tids")).filter(F.size("tids") > 0)
+        rows = materialize(rows, "intersections")
         level = rows.groupBy("itemset").agg(F.sum(F.size("tids")).alias("support")).filter(F.col("support") >= least)
-        level = level.select(F.lit(k).alias("k"), "itemset", "support").persist()
+        level = materialize(level.select(F.lit(k).alias("k"), "itemset", "support"), "level")
         if level.isEmpty():
             break
         found = found.union(level)
         held = rows.join(level.select("itemset"), "itemset", "left_semi")
+    discard(base)
     return Frequent(found, baskets, least)
 
 
+def push(found: DataFrame, more: DataFrame) -> DataFrame:
+    """``found`` with the itemsets of ``more`` that it does not have; those it has keep their support."""
+    return found.unionByName(more.join(found.select("itemset"), "itemset", "left_anti").select(*found.columns))
+
+
 def support_of(found: DataFrame, itemset: Column) -> DataFrame:
     """Rows of ``found`` with that itemset."""
     return found.filter(F.col("itemset") == itemset)

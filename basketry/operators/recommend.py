@@ -1,4 +1,7 @@
-"""Neighbourhood recommenders: user_id, item_id, raw, score (raw rounded) for items a user has not rated."""
+"""Neighbourhood recommenders: user_id, item_id, raw, score (raw rounded) for items a user has not rated.
+
+Of a user's repeated ratings of an item the first one counts, as one_score() says.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.operators.similarity import both_ways, item_similarities, pearson, user_similarities
+from basketry.operators.similarity import both_ways, item_similarities, one_score, pearson, user_similarities
 from basketry.params import CFParams, rounded
 
 
@@ -32,6 +35,7 @@ def top_n(predicted: DataFrame, n: int) -> DataFrame:
 
 def user_based(ratings: DataFrame, params: CFParams = CFParams(), measure: Callable[[], Column] = pearson, target=None, sims: DataFrame | None = None) -> DataFrame:
     """Mean of similar users' scores, weighted by similarity; of one user if ``target`` is given."""
+    ratings = one_score(ratings)
     near = both_ways(user_similarities(ratings, measure) if sims is None else sims).filter(F.col("sim") > params.threshold)
     if target is not None:
         near = near.filter(F.col("thing") == target)
@@ -41,15 +45,18 @@ def user_based(ratings: DataFrame, params: CFParams = CFParams(), measure: Calla
 
 def item_neighbours(ratings: DataFrame, threshold: float, sims: DataFrame | None = None) -> DataFrame:
     """item_id, other_id, sim, rnk: an item's most similar ones, a share 1 - threshold of all items, above the threshold."""
+    ratings = one_score(ratings)
     items = ratings.select("item_id").distinct().count()
     k = min(max(items - 1, 0), math.floor(items * (1 - threshold) + 1e-9))
     order = Window.partitionBy("item_id").orderBy(F.desc(F.round("sim", 9)), "other_id")
     near = both_ways(item_similarities(ratings) if sims is None else sims).select(F.col("thing").alias("item_id"), F.col("other").alias("other_id"), "sim")
-    return near.withColumn("rnk", F.row_number().over(order)).filter((F.col("rnk") <= k) & (F.col("sim") > threshold))
+    # those above the threshold come first in the order, so the others need not be ranked
+    return near.filter(F.col("sim") > threshold).withColumn("rnk", F.row_number().over(order)).filter(F.col("rnk") <= k)
 
 
 def item_based(ratings: DataFrame, params: CFParams = CFParams(), target=None, neighbours: DataFrame | None = None) -> DataFrame:
     """Mean of a user's own scores of an item's neighbours, weighted by similarity."""
+    ratings = one_score(ratings)
     near = item_neighbours(ratings, params.threshold) if neighbours is None else neighbours
     mine = ratings if target is None else ratings.filter(F.col("user_id") == target)
     rows = mine.join(near, "item_id").select("user_id", F.col("other_id").alias("item_id"), F.col("sim").alias("weight"), F.col("score").alias("value"))
@@ -64,6 +71,7 @@ def _at_thresholds(rows: DataFrame, column: str) -> DataFrame:
 
 def user_based_at(ratings: DataFrame, thresholds: list[float], wanted: DataFrame) -> DataFrame:
     """user_id, item_id, user_threshold, raw of user_based() at each threshold, for the (user, item) pairs in ``wanted``; similarities are taken once."""
+    ratings = one_score(ratings)
     steps = F.array(*map(F.lit, thresholds))
     near = both_ways(user_similarities(ratings)).filter(F.col("sim") > min(thresholds))
     theirs = near.join(ratings.withColumnRenamed("user_id", "other"), "other").withColumnRenamed("thing", "user_id")
@@ -74,6 +82,7 @@ def user_based_at(ratings: DataFrame, thresholds: list[float], wanted: DataFrame
 
 def item_based_at(ratings: DataFrame, thresholds: list[float], wanted: DataFrame) -> DataFrame:
     """user_id, item_id, item_threshold, raw of item_based() at each threshold, for the (user, item) pairs in ``wanted``; similarities are taken once."""
+    ratings = one_score(ratings)
     items = ratings.select("item_id").distinct().count()
     steps = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(min(max(items - 1, 0), math.floor(items * (1 - t) + 1e-9))).alias("k")) for t in thresholds))
     near = item_neighbours(ratings, min(thresholds))
@@ -86,6 +95,7 @@ def item_based_at(ratings: DataFrame, thresholds: list[float], wanted: DataFrame
 
 def mean_centred(ratings: DataFrame, params: CFParams = CFParams(), measure: Callable[[], Column] = pearson) -> DataFrame:
     """A user's mean, plus similar users' deviations from theirs, weighted by the similarity's size."""
+    ratings = one_score(ratings)
     means = ratings.groupBy("user_id").agg(F.avg("score").alias("mean"))
     near = both_ways(user_similarities(ratings, measure)).filter(F.abs("sim") > params.threshold)
     theirs = ratings.join(means, "user_id").select(F.col("user_id").alias("other"), "item_id", (F.col("score") - F.col("mean")).alias("value"))
@@ -107,6 +117,7 @@ def rule_based(ratings: DataFrame, rules: DataFrame) -> DataFrame:
 
     Items already rated are predicted too, and nothing is rounded to a whole score.
     """
+    ratings = one_score(ratings)
     numbered = rules.withColumn("rule", F.xxhash64(F.size("antecedent"), "antecedent", "consequent"))
     needs = numbered.select("rule", F.size("antecedent").alias("needed"), F.explode("antecedent").alias("item_id"))
     held = ratings.join(needs, "item_id").groupBy("user_id", "rule", "needed").agg(F.count("*").alias("n"), F.sum("score").alias("scores"))

@@ -1,7 +1,9 @@
 """Similarities of users or items from co-rated scores.
 
 One self-join on the shared key, one aggregate of n and sums, and the measure is an expression of
-those. Pairs without a common key have similarity 0 and no row.
+those. Pairs without a common key have similarity 0 and no row. A key that many things share is cut
+into blocks of things, and its pairs of blocks are joined apart, so that no task makes all pairs of
+a popular key. A thing has one score for a key: see one_score().
 """
 
 from __future__ import annotations
@@ -11,6 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.storage import HOT_PARTS, materialize
+
+#: Things of a block of a popular key.
+BLOCK = 1024
 #: Denominators nearer to zero count as zero.
 EPSILON = 1e-9
 
@@ -34,10 +40,26 @@ def cosine() -> Column:
     return F.when(bottom < EPSILON, F.lit(1.0)).otherwise(F.col("sxy") / F.greatest(bottom, F.lit(EPSILON)))
 
 
-def pair_sums(rows: DataFrame) -> DataFrame:
+def one_score(ratings: DataFrame) -> DataFrame:
+    """user_id, item_id, score of the first rating (by ``ts``, if there is one) of each user and item; ties go to the least score."""
+    first = F.struct("ts", "score") if "ts" in ratings.columns else F.struct("score")
+    return ratings.groupBy("user_id", "item_id").agg(F.min(first).alias("first")).select("user_id", "item_id", F.col("first.score").alias("score"))
+
+
+def pair_sums(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """a, b (a < b), n, sx, sy, sxx, syy, sxy, sdd over (thing, key, score) rows that share a key."""
-    a, b = rows.alias("a"), rows.alias("b")
-    both = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.thing") < F.col("b.thing")))
+    rows = materialize(rows.select("thing", "key", "score"), "rated")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    # keys of more than a HOT_PARTS-th of all rows, so there are no more than HOT_PARTS
+    popular = sizes.filter((F.col("n") > block) & (F.col("n") * HOT_PARTS > total)).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    cut = rows.join(F.broadcast(popular), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("thing"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.select("thing", "key", "score", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") - F.col("other")).alias("side"))
+    a, b = cut.alias("a"), cut.alias("b")
+    # within a block every pair, between two blocks those across
+    here = (F.col("a.key") == F.col("b.key")) & (F.col("a.low") == F.col("b.low")) & (F.col("a.high") == F.col("b.high"))
+    both = a.join(b, here & (F.col("a.thing") < F.col("b.thing")) & ((F.col("a.side") == 0) | (F.col("a.side") != F.col("b.side"))))
     x, y = F.col("a.score"), F.col("b.score")
     return both.groupBy(F.col("a.thing").alias("a"), F.col("b.thing").alias("b")).agg(
         F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"), F.sum((x - y) * (x - y)).alias("sdd")
@@ -59,13 +81,13 @@ def item_rows(ratings: DataFrame) -> DataFrame:
 
 
 def user_similarities(ratings: DataFrame, measure: Callable[[], Column] = pearson) -> DataFrame:
-    return similarities(user_rows(ratings), measure)
+    return similarities(user_rows(one_score(ratings)), measure)
 
 
 def item_similarities(ratings: DataFrame) -> DataFrame:
     """Adjusted cosine: scores less the mean of all of their user's."""
     mean = F.avg("score").over(Window.partitionBy("user_id"))
-    return similarities(item_rows(ratings.withColumn("score", F.col("score") - mean)), cosine)
+    return similarities(item_rows(one_score(ratings).withColumn("score", F.col("score") - mean)), cosine)
 
 
 def both_ways(sims: DataFrame) -> DataFrame:

@@ -7,8 +7,7 @@ from __future__ import annotations
 
 BRANDS = "SELECT DISTINCT l_orderkey AS tid, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey"
 TYPES = "SELECT DISTINCT l_orderkey AS tid, p_type AS item FROM lineitem JOIN part ON l_partkey = p_partkey"
-WORDS = "SELECT DISTINCT doc_id AS tid, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS item FROM documents WHERE lang = 'en'"
-ALL_WORDS = "SELECT DISTINCT doc_id AS tid, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS item FROM documents"
+WORDS = r"SELECT DISTINCT doc_id AS tid, unnest(regexp_extract_all(lower(text), '\p{L}{4,}')) AS item FROM documents"
 SUPPLIERS = "SELECT l_suppkey AS user_id, p_brand AS item_id, avg(l_quantity) AS score FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2"
 CUSTOMERS = "SELECT o_custkey AS user_id, p_brand AS item_id, avg(l_quantity) AS score FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2"
 EVENTS = "SELECT user_id, event_type AS item_id, avg(value) AS score FROM events GROUP BY 1, 2"
@@ -87,18 +86,9 @@ FROM test LEFT JOIN {predicted} p USING (user_id, item_id) WHERE test.user_id IN
 SETS = "SELECT l_orderkey AS tid, list_sort(list(DISTINCT l_partkey % 7)) AS a, list_sort(list(DISTINCT l_suppkey % 7)) AS b FROM lineitem GROUP BY 1"
 TEXT = "array_to_string({0}, ',')"
 
-_GRID = ", ".join([
-    _split(SUPPLIERS), f"s AS ({_pearson('train')})", f"si AS ({_adjusted('train')})",
-    *(_user_based(t, f"u{k}") for k, t in enumerate((0.1, 0.2, 0.3))), *(_neighbours(t, f"n{k}") for k, t in enumerate((0.01, 0.02))), *(_item_based(f"i{k}", f"n{k}") for k in range(2)),
-])
-_CELLS = " UNION ALL ".join(
-    f"SELECT {ut} AS user_threshold, {it} AS item_threshold, alpha, (SELECT round(avg(abs(coalesce(u.raw * (1 - alpha) + i.raw * alpha, 0) - test.score)), 6) FROM test LEFT JOIN u{uk} u USING (user_id, item_id) LEFT JOIN i{ik} i USING (user_id, item_id) WHERE test.user_id IN (SELECT user_id FROM train)) AS mae FROM (VALUES (0.5), (0.65), (0.8)) g(alpha)"
-    for uk, ut in enumerate((0.1, 0.2, 0.3)) for ik, it in enumerate((0.01, 0.02))
-)
-
 _STEPS = "SELECT range / 100 AS t FROM range(31)"
 _PAIRS = "SELECT user_id, item_id FROM test WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user_id = test.user_id AND t.item_id = test.item_id)"
-_WHOLE_GRID = f"""{_split(SUPPLIERS)}, s AS ({_pearson('train')}), si AS ({_adjusted('train')}), st AS ({_STEPS}), pr AS ({_PAIRS}), k AS (SELECT count(DISTINCT item_id) AS items FROM train),
+_GRID = f"""{_split(SUPPLIERS)}, s AS ({_pearson('train')}), si AS ({_adjusted('train')}), st AS ({_STEPS}), pr AS ({_PAIRS}), k AS (SELECT count(DISTINCT item_id) AS items FROM train),
 u AS (SELECT pr.user_id, pr.item_id, t, round(sum(sim * score) / sum(sim), 6) AS raw FROM pr JOIN ({BOTH}) ON thing = pr.user_id JOIN train ON train.user_id = other AND train.item_id = pr.item_id JOIN st ON sim > t GROUP BY 1, 2, 3),
 n AS (SELECT thing, other, sim, row_number() OVER (PARTITION BY thing ORDER BY round(sim, 9) DESC, other) AS rnk FROM (SELECT a AS thing, b AS other, sim FROM si UNION ALL SELECT b, a, sim FROM si)),
 i AS (SELECT pr.user_id, pr.item_id, t, round(sum(sim * score) / sum(sim), 6) AS raw FROM pr JOIN train ON train.user_id = pr.user_id JOIN n ON n.thing = train.item_id AND n.other = pr.item_id JOIN st ON sim > t CROSS JOIN k WHERE rnk <= least(items - 1, floor(items * (1 - t) + 1e-9)) GROUP BY 1, 2, 3),
@@ -109,11 +99,7 @@ FROM st a CROSS JOIN st b CROSS JOIN (SELECT (50 + range) / 100 AS alpha FROM ra
 LEFT JOIN w ON w.user_threshold = a.t AND w.item_threshold = b.t AND w.alpha = g.alpha"""
 
 _HYBRID = f"{_split(SUPPLIERS)}, s AS ({_pearson('train')}), si AS ({_adjusted('train')}), {_user_based(0.2)}, {_neighbours(0.02)}, {_item_based()}, hy AS (SELECT user_id, item_id, round(ub.raw * 0.4 + ib.raw * 0.6, 6) AS raw FROM ub JOIN ib USING (user_id, item_id))"
-_RULED = f"{_split(SUPPLIERS)}, o AS (SELECT DISTINCT user_id AS tid, item_id AS item FROM train), f AS (SELECT item, count(*) AS support FROM o GROUP BY 1), p AS (SELECT x.item AS a, y.item AS c, count(*) AS support FROM o x JOIN o y ON x.tid = y.tid AND x.item <> y.item GROUP BY 1, 2 HAVING count(*) >= (SELECT greatest(1, round(count(DISTINCT tid) * 0.3)) FROM o)), q AS (SELECT a, c, p.support / f.support AS conf FROM p JOIN f ON item = a WHERE p.support / f.support >= 0.8), ru AS (SELECT user_id, c AS item_id, round(sum(conf * score) / sum(conf), 6) AS raw FROM q JOIN train ON item_id = a GROUP BY 1, 2)"
-
-
-
-def _ruled_deep(minsup: float, max_k: int, minconf: float) -> str:
+def _ruled(minsup: float, max_k: int, minconf: float) -> str:
     """CTEs r, train, test, those of itemsets(), and ru(user_id, item_id, raw) from rules with sides of any size."""
     splits = []
     for k in range(2, max_k + 1):
@@ -127,12 +113,17 @@ h AS (SELECT user_id, rule, sum(score) AS scores, count(*) AS n FROM (SELECT rul
 ru AS (SELECT user_id, item_id, round(sum(conf * scores) / sum(conf * n), 6) AS raw FROM h JOIN (SELECT rule, conf, unnest(c) AS item_id FROM q) USING (rule) GROUP BY 1, 2)"""
 
 
-_RULED_DEEP = _ruled_deep(0.3, 3, 0.8)
+_RULED = _ruled(0.3, 3, 0.8)
+
+TEN = "SELECT tid, unnest(string_split(b, ' ')) AS item FROM (VALUES " + ", ".join(f"({k}, '{x}')" for k, x in enumerate(["a b", "a c d e", "b c d f", "a b c d", "a b c f", "b c d f", "a b c d e", "a c e", "b c d", "c f"])) + ") v(tid, b)"
+RATED = "SELECT user_id, item_id, first(score ORDER BY ts, score) AS score, min(ts) AS ts FROM (SELECT l_suppkey AS user_id, l_partkey % {n} AS item_id, l_quantity::DOUBLE AS score, l_orderkey * 8 + l_linenumber AS ts FROM lineitem) GROUP BY 1, 2"
+#: Each item's least basket is its key_info.
+_BY_ITEM = "SELECT item, count(*) AS df, CAST(min(tid) AS VARCHAR) AS key_info FROM (SELECT DISTINCT tid, item FROM ({})) GROUP BY 1"
 
 ORACLE_SQL: dict[str, str] = {
     "source_baskets_brand": BRANDS,
     "source_baskets_of_ratings": f"SELECT DISTINCT user_id AS tid, item_id AS item FROM ({EVENTS})",
-    "source_document_words": "WITH w AS (SELECT doc_id AS tid, regexp_extract_all(lower(text), '[a-z]{4,}') AS l FROM documents), e AS (SELECT tid, unnest(l) AS item, unnest(range(len(l))) AS pos FROM w) SELECT tid, item, count(*) AS cnt, min(pos) AS first_position, max(pos) AS last_position FROM e GROUP BY 1, 2",
+    "source_document_words": r"WITH w AS (SELECT doc_id AS tid, regexp_extract_all(text, '\p{L}{4,}') AS l, string_split_regex(text, '\p{L}{4,}') AS g FROM documents), e AS (SELECT tid, unnest(l) AS item, unnest(range(len(l))) AS k, unnest(g[1:len(l)]) AS gap FROM w), p AS (SELECT tid, lower(item) AS item, strlen(item) AS length, sum(strlen(gap) + strlen(item)) OVER (PARTITION BY tid ORDER BY k) - strlen(item) AS pos FROM e) SELECT tid, item, count(*) AS cnt, min(pos)::BIGINT AS first_position, max(pos)::BIGINT AS last_position, min(length) AS length FROM p GROUP BY 1, 2",
     "item_dictionary": f"SELECT row_number() OVER (ORDER BY item) - 1 AS item_id, item FROM (SELECT DISTINCT item FROM ({BRANDS}))",
     "item_frequency_order": f"SELECT item, count(*) AS support, row_number() OVER (ORDER BY count(*) DESC, item) AS rank FROM ({BRANDS}) GROUP BY 1",
     "count_items_distinct": f"SELECT item, count(*) AS support FROM ({BRANDS}) GROUP BY 1",
@@ -148,14 +139,12 @@ ORACLE_SQL: dict[str, str] = {
     "identifier_hash": "WITH RECURSIVE h AS (SELECT n_name, 0 AS k, 0::BIGINT AS v FROM nation UNION ALL SELECT n_name, k + 1, (v * 37 + ascii(substr(n_name, k + 1, 1))) % 4294967296 FROM h WHERE k < length(n_name)) SELECT n_name, v % 1000 AS slot FROM h WHERE k = length(n_name)",
     **{name: mined(BRANDS, 0.003, 3) for name in ("apriori_brand", "dhp_brand", "fp_growth_brand", "vertical_brand")},
     **{name: mined(TYPES, 0.1, 3) for name in ("apriori_type", "vertical_type_small_chunks")},
-    "apriori_words": mined(WORDS, 0.2, 2),
-    "apriori_all_words": mined(ALL_WORDS, 0.05, 2),
+    "apriori_words": mined(WORDS, 0.05, 2),
     "candidates_of_pairs": itemsets(BRANDS, 0.0155, 2) + " SELECT x.i1 || ',' || x.i2 || ',' || y.i2 AS itemset FROM f2 x JOIN f2 y ON x.i1 = y.i1 AND x.i2 < y.i2 JOIN f2 z ON z.i1 = x.i2 AND z.i2 = y.i2",
     "compare_miners": "SELECT miner, 0::BIGINT AS differences FROM (VALUES ('dhp'), ('fp_growth'), ('vertical')) v(miner)",
     "rules_brand": ruled(BRANDS, 0.003, 3, 0.02),
     "rules_type": ruled(TYPES, 0.1, 3, 0.2),
-    "rules_words": ruled(WORDS, 0.2, 2, 0.6),
-    "rules_all_words": ruled(ALL_WORDS, 0.05, 2, 0.4),
+    "rules_words": ruled(WORDS, 0.05, 2, 0.4),
     "index_document_frequency": f"SELECT item, count(*) AS df FROM ({BRANDS}) GROUP BY 1",
     "index_find_records": f"SELECT tid AS record_id FROM ({BRANDS}) WHERE item = 'Brand#11'",
     "index_postings": f"SELECT item, tid AS record_id, row_number() OVER (PARTITION BY item ORDER BY tid DESC) AS place FROM ({BRANDS})",
@@ -179,12 +168,32 @@ ORACLE_SQL: dict[str, str] = {
     "recommend_rule_based": f"{_RULED} SELECT * FROM ru",
     "evaluate_hybrid": f"{_HYBRID} {_errors('hy', 'p.raw')}",
     "evaluate_rule_based": f"{_RULED} {_errors('ru', 'p.raw')}",
-    "recommend_rule_based_deep": f"{_RULED_DEEP} SELECT * FROM ru",
-    "evaluate_rule_based_deep": f"{_RULED_DEEP} {_errors('ru', 'p.raw')}",
-    "index_word_frequency": "SELECT item, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS item FROM documents) GROUP BY 1",
+    "index_word_frequency": "SELECT item, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}{4,}')) AS item FROM documents) GROUP BY 1",
     "recommend_item_based_one": f"{_split(CUSTOMERS)}, si AS ({_adjusted('train')}), {_neighbours(0.01)}, {_item_based()} SELECT user_id, item_id, raw, round(raw) AS score FROM ib WHERE user_id = 1",
     "evaluate_user_based": f"{_split(SUPPLIERS)}, s AS ({_pearson('train')}), {_user_based(0.2)} {_errors('ub')}",
     "evaluate_item_based": f"{_split(CUSTOMERS)}, si AS ({_adjusted('train')}), {_neighbours(0.01)}, {_item_based()} {_errors('ib')}",
-    "grid_search_whole": _WHOLE_GRID,
-    "grid_search": f"{_GRID} SELECT CAST(user_threshold AS DOUBLE) AS user_threshold, CAST(item_threshold AS DOUBLE) AS item_threshold, CAST(alpha AS DOUBLE) AS alpha, mae FROM ({_CELLS})",
+    "grid_search": _GRID,
+    "grid_search_best": f"SELECT * FROM ({_GRID}) ORDER BY mae, user_threshold, item_threshold, alpha LIMIT 1",
+    "recommend_repeated_ratings": f"WITH train AS (SELECT user_id, item_id, score FROM ({RATED.format(n=30)}) WHERE (user_id + item_id) % 3 > 0), s AS ({_pearson('train')}), {_user_based(0.1)} SELECT user_id, item_id, raw, round(raw) AS score FROM ub",
+    "rules_of_repeated_ratings": "WITH t AS (SELECT user_id, item_id, first(score ORDER BY ts, score) AS score FROM (SELECT l_orderkey % 50 AS user_id, l_partkey % 10 AS item_id, l_quantity::DOUBLE AS score, l_orderkey * 8 + l_linenumber AS ts FROM lineitem) WHERE (user_id + item_id) % 4 > 0 GROUP BY 1, 2), q AS (SELECT * FROM (VALUES ([1, 2], 3, 0.9), ([4], 3, 0.8), ([5, 6], 7, 0.85)) v(a, c, conf)), h AS (SELECT user_id, c, conf, sum(score) AS scores, count(*) AS n FROM t JOIN q ON list_contains(a, item_id) GROUP BY user_id, a, c, conf HAVING count(*) = len(a)) SELECT user_id, c::BIGINT AS item_id, round(sum(conf * scores) / sum(conf * n), 6)::DOUBLE AS raw FROM h GROUP BY 1, 2",
+    "source_xml_baskets": "SELECT l_orderkey AS tid, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey",
+    "index_of_xml": _BY_ITEM.format(BRANDS),
+    "source_text_files": "SELECT n_name || ' \u56fd\u5bb6\u4fe1\u606f ' || lower(n_name) || chr(10) AS text FROM nation",
+    "source_text_file_numbers": "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS tid, n_name AS text FROM (SELECT n_nationkey, regexp_replace(n_name, '\\s', '', 'g') AS n_name FROM nation)",
+    "source_ratings_files": RATED.format(n=50),
+    "index_of_ratings": _BY_ITEM.format(f"SELECT user_id AS tid, item_id AS item FROM ({RATED.format(n=50)})"),
+    "source_memory_baskets": f"SELECT tid::BIGINT AS tid, item FROM ({TEN})",
+    "index_of_memory": f"SELECT item, CAST(min(tid) OVER (PARTITION BY item) AS VARCHAR) AS key_info, tid::BIGINT AS record_id FROM ({TEN})",
+    "apriori_memory_baskets": mined(TEN, 0.3, 3),
+    "source_tagged_words": "SELECT p_partkey AS tid, p_brand AS item FROM part WHERE p_partkey % 10 IN (1, 2, 3, 4, 5, 6) AND p_partkey % 3 > 0",
+    "source_config": "SELECT * FROM (VALUES ('ROOT_DIR', '/data'), ('INPUT_DIR', '/data/in'), ('EMPTY', '')) v(key, value)",
+    "sink_round_trip": f"SELECT item, count(*) AS support FROM ({BRANDS}) GROUP BY 1",
+    "parameters_rejected": "SELECT * FROM (VALUES ('max_k 0', true), ('minsup 0', true), ('minconf -1', true), ('rounding up', true), ('top_n -1', true), ('sound', false), ('sound cf', false)) v(parameters, refused)",
+    "itemset_support": f"SELECT 2::INTEGER AS k, 'b,c' AS itemset, count(*) AS support FROM ({TEN}) x JOIN ({TEN}) y ON x.tid = y.tid WHERE x.item = 'b' AND y.item = 'c'",
+    "itemsets_pushed": f"WITH lo AS ({mined(f'SELECT * FROM ({BRANDS}) WHERE tid < 1000', 0.02, 2)}), al AS ({mined(BRANDS, 0.02, 2)}) SELECT * FROM lo UNION ALL SELECT * FROM al WHERE itemset NOT IN (SELECT itemset FROM lo)",
+    "apriori_type_floor": mined(TYPES, 0.10007, 2).replace("round(count(DISTINCT tid)", "floor(count(DISTINCT tid)"),
+    "compare_thresholds": f"WITH lo AS ({mined(TEN, 0.3, 3)}), hi AS ({mined(TEN, 0.5, 3)}) SELECT k, itemset, unnest(['missing', 'redundant']) AS problem FROM lo WHERE itemset NOT IN (SELECT itemset FROM hi)",
+    "index_bucketed_lookup": f"SELECT tid AS record_id FROM ({BRANDS}) WHERE item = 'Brand#11' INTERSECT SELECT tid FROM ({BRANDS}) WHERE item = 'Brand#12'",
+    "index_local_catalogs": f"SELECT item, count(*) AS df FROM ({BRANDS}) GROUP BY 1",
+    "stream_supports": f"SELECT item, count(*) AS support FROM ({BRANDS}) GROUP BY 1",
 }

@@ -12,14 +12,16 @@ from basketry.functions.text import basket_items, polynomial_hash
 from basketry.operators import counters, dictionary, evaluate, index, itemsets, recommend, similarity
 from basketry.operators.rules import rules
 from basketry.params import CFParams, MiningParams
-from basketry.sources import files, tables
+from basketry.sources import files, memory, tables
+from basketry.storage import new_path
+from basketry.streaming import supports
 
 BRAND = MiningParams(max_k=2, minsup=0.02, minconf=0.1)
 BRAND_DEEP = MiningParams(max_k=3, minsup=0.003, minconf=0.02)
 TYPE = MiningParams(max_k=3, minsup=0.1, minconf=0.2)
-WORDS = MiningParams(max_k=2, minsup=0.2, minconf=0.6)
-#: As the reference's runs over documents.
-ALL_WORDS = MiningParams(max_k=2, minsup=0.05, minconf=0.4)
+#: As the reference's runs over documents, and over ratings.
+WORDS = MiningParams(max_k=2, minsup=0.05, minconf=0.4)
+RATED = MiningParams(max_k=3, minsup=0.3, minconf=0.8)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -68,7 +70,7 @@ def source_baskets_of_ratings(s: SparkSession, d: str) -> DataFrame:
 @query
 def source_document_words(s: SparkSession, d: str) -> DataFrame:
     rows = files.document_words(tables.table(s, d, "documents"))
-    return rows.select("tid", "item", "cnt", F.element_at("positions", 1).cast("long").alias("first_position"), F.element_at("positions", -1).cast("long").alias("last_position"))
+    return rows.select("tid", "item", "cnt", F.element_at("positions", 1).cast("long").alias("first_position"), F.element_at("positions", -1).cast("long").alias("last_position"), "length")
 
 
 @query
@@ -172,12 +174,7 @@ def apriori_type(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def apriori_words(s: SparkSession, d: str) -> DataFrame:
-    return _as_text(itemsets.apriori(tables.baskets_of_words(s, d, "en"), WORDS).itemsets)
-
-
-@query
-def apriori_all_words(s: SparkSession, d: str) -> DataFrame:
-    return _as_text(itemsets.apriori(tables.baskets_of_words(s, d), ALL_WORDS).itemsets)
+    return _as_text(itemsets.apriori(tables.baskets_of_words(s, d), WORDS).itemsets)
 
 
 @query
@@ -232,12 +229,7 @@ def rules_type(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def rules_words(s: SparkSession, d: str) -> DataFrame:
-    return _rules_as_text(rules(itemsets.dhp(tables.baskets_of_words(s, d, "en"), WORDS).itemsets, WORDS.minconf))
-
-
-@query
-def rules_all_words(s: SparkSession, d: str) -> DataFrame:
-    return _rules_as_text(rules(itemsets.dhp(tables.baskets_of_words(s, d), ALL_WORDS).itemsets, ALL_WORDS.minconf))
+    return _rules_as_text(rules(itemsets.dhp(tables.baskets_of_words(s, d), WORDS).itemsets, WORDS.minconf))
 
 
 # --- inverted index
@@ -370,9 +362,8 @@ def recommend_hybrid(s: SparkSession, d: str) -> DataFrame:
     return recommend.hybrid(recommend.user_based(train, CFParams(0.2)), recommend.item_based(train, CFParams(0.02)), 0.6)
 
 
-def _rating_rules(train: DataFrame, max_k: int = 2) -> DataFrame:
-    params = MiningParams(max_k, minsup=0.3, minconf=0.8)
-    return rules(itemsets.apriori(tables.baskets_of_ratings(train), params).itemsets, params.minconf)
+def _rating_rules(train: DataFrame) -> DataFrame:
+    return rules(itemsets.apriori(tables.baskets_of_ratings(train), RATED).itemsets, RATED.minconf)
 
 
 @query
@@ -381,13 +372,6 @@ def recommend_rule_based(s: SparkSession, d: str) -> DataFrame:
     return recommend.rule_based(train, _rating_rules(train))
 
 
-@query
-def recommend_rule_based_deep(s: SparkSession, d: str) -> DataFrame:
-    """With the reference's largest itemset, 3."""
-    train = split(tables.ratings_of_suppliers(s, d))[0].persist()
-    return recommend.rule_based(train, _rating_rules(train, 3))
-
-
 @query
 def evaluate_user_based(s: SparkSession, d: str) -> DataFrame:
     train, test = split(tables.ratings_of_suppliers(s, d))
@@ -415,14 +399,7 @@ def evaluate_rule_based(s: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def evaluate_rule_based_deep(s: SparkSession, d: str) -> DataFrame:
-    train, test = split(tables.ratings_of_suppliers(s, d))
-    train = train.persist()
-    return evaluate.errors(recommend.rule_based(train, _rating_rules(train, 3)), test, train)
-
-
-@query
-def grid_search_whole(s: SparkSession, d: str) -> DataFrame:
+def grid_search(s: SparkSession, d: str) -> DataFrame:
     """The reference's grid: thresholds 0.00 to 0.30 and alpha 0.50 to 0.80 by 0.01, 29,791 points."""
     train, test = split(tables.ratings_of_suppliers(s, d))
     train = train.persist()
@@ -434,15 +411,195 @@ def grid_search_whole(s: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def grid_search(s: SparkSession, d: str) -> DataFrame:
-    train, test = split(tables.ratings_of_suppliers(s, d))
-    train = train.persist()
-    by_users = by_items = None
-    sims, item_sims = similarity.user_similarities(train).persist(), similarity.item_similarities(train).persist()
-    for t in (0.1, 0.2, 0.3):
-        rows = recommend.user_based(train, CFParams(t), sims=sims).withColumn("user_threshold", F.lit(t))
-        by_users = rows if by_users is None else by_users.union(rows)
-    for t in (0.01, 0.02):
-        rows = recommend.item_based(train, CFParams(t), neighbours=recommend.item_neighbours(train, t, item_sims)).withColumn("item_threshold", F.lit(t))
-        by_items = rows if by_items is None else by_items.union(rows)
-    return evaluate.grid_search(by_users, by_items, test, train, [0.5, 0.65, 0.8])
+def grid_search_best(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.best_of(grid_search(s, d))
+
+
+@query
+def recommend_repeated_ratings(s: SparkSession, d: str) -> DataFrame:
+    """Ratings that repeat a user and item: the first one, by line, counts."""
+    ts = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    ratings = tables.table(s, d, "lineitem").select(F.col("l_suppkey").alias("user_id"), (F.col("l_partkey") % 30).alias("item_id"), F.col("l_quantity").cast("double").alias("score"), ts.alias("ts"))
+    return recommend.user_based(ratings.filter("(user_id + item_id) % 3 > 0"), CFParams(0.1))
+
+
+@query
+def rules_of_repeated_ratings(s: SparkSession, d: str) -> DataFrame:
+    """A rule of two items holds for who rated both, however often."""
+    ts = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    ratings = tables.table(s, d, "lineitem").select((F.col("l_orderkey") % 50).alias("user_id"), (F.col("l_partkey") % 10).alias("item_id"), F.col("l_quantity").cast("double").alias("score"), ts.alias("ts")).filter("(user_id + item_id) % 4 > 0")
+    told = s.range(1).select(F.explode(F.array(*(F.struct(F.array(*(F.lit(x).cast("long") for x in a)).alias("antecedent"), F.array(F.lit(b).cast("long")).alias("consequent"), F.lit(c).alias("confidence")) for a, b, c in (((1, 2), 3, 0.9), ((4,), 3, 0.8), ((5, 6), 7, 0.85))))).alias("r")).select("r.*")
+    return recommend.rule_based(ratings, told)
+
+
+# --- files, memory, streams
+
+
+@query
+def source_xml_baskets(s: SparkSession, d: str) -> DataFrame:
+    """Orders written as XML records and read back."""
+    return files.xml_baskets(s, _xml(s, d))
+
+
+def _xml(s: SparkSession, d: str) -> str:
+    path = new_path(s, "xml")
+    rows = tables.baskets_of_parts(s, d, "p_brand", distinct=False).groupBy("tid").agg(F.array_join(F.collect_list("item"), " , ").alias("data"))
+    rows.write.format("xml").option("rootTag", "dataroot").option("rowTag", "record").save(path)
+    return path
+
+
+@query
+def index_of_xml(s: SparkSession, d: str) -> DataFrame:
+    found = files.index_of_baskets(files.xml_baskets(s, _xml(s, d)))
+    return found.groupBy("item").agg(F.count("*").alias("df"), F.min("key_info").alias("key_info"))
+
+
+@query
+def source_text_files(s: SparkSession, d: str) -> DataFrame:
+    """Names of nations, in a charset of their own, a file each, and their words."""
+    s.conf.set("spark.sql.legacy.javaCharsets", "true")
+    path = new_path(s, "texts")
+    rows = tables.table(s, d, "nation").select("n_nationkey", F.concat(F.col("n_name"), F.lit(" \u56fd\u5bb6\u4fe1\u606f "), F.lower("n_name")).alias("value"))
+    rows.repartition(25, "n_nationkey").write.partitionBy("n_nationkey").option("encoding", "GBK").csv(path)
+    docs = files.text_documents(s, f"{path}/*/*.csv", "GBK")
+    return docs.select("text")
+
+
+@query
+def source_text_file_numbers(s: SparkSession, d: str) -> DataFrame:
+    """Files get dense numbers in the order of their paths."""
+    path = new_path(s, "texts")
+    rows = tables.table(s, d, "nation").select(F.format_string("%02d", "n_nationkey").alias("file"), F.col("n_name").alias("value"))
+    rows.repartition(25, "file").write.partitionBy("file").text(path)
+    docs = files.text_documents(s, f"{path}/*/*.txt")
+    return docs.select("tid", F.regexp_replace("text", r"\s", "").alias("text"))
+
+
+def _ratings_file(s: SparkSession, d: str) -> DataFrame:
+    path = new_path(s, "ratings")
+    ts = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    rows = tables.table(s, d, "lineitem").select("l_suppkey", F.col("l_partkey") % 50, F.col("l_quantity").cast("double"), ts)
+    rows.write.csv(path, sep="\t", header=False)
+    return files.tsv_ratings(s, path)
+
+
+@query
+def source_ratings_files(s: SparkSession, d: str) -> DataFrame:
+    return _ratings_file(s, d)
+
+
+@query
+def index_of_ratings(s: SparkSession, d: str) -> DataFrame:
+    found = files.index_of_baskets(tables.baskets_of_ratings(_ratings_file(s, d)))
+    return found.groupBy("item").agg(F.count("*").alias("df"), F.min("key_info").alias("key_info"))
+
+
+TEN = ["a b", "a c d e", "b c d f", "a b c d", "a b c f", "b c d f", "a b c d e", "a c e", "b c d", "c f"]
+
+
+def _ten(s: SparkSession) -> DataFrame:
+    return memory.memory_baskets(s, [x.split() for x in TEN])
+
+
+@query
+def source_memory_baskets(s: SparkSession, d: str) -> DataFrame:
+    return _ten(s)
+
+
+@query
+def index_of_memory(s: SparkSession, d: str) -> DataFrame:
+    return files.index_of_baskets(_ten(s))
+
+
+@query
+def apriori_memory_baskets(s: SparkSession, d: str) -> DataFrame:
+    return _as_text(itemsets.apriori(_ten(s), MiningParams(3, 0.3, 0.4)).itemsets)
+
+
+@query
+def source_tagged_words(s: SparkSession, d: str) -> DataFrame:
+    tags = F.array(*map(F.lit, ("n", "nr", "ns", "v", "vn", "a", "ad", "u", "nz", "w")))
+    rows = tables.table(s, d, "part").select(F.col("p_partkey").alias("tid"), F.col("p_brand").alias("item"), F.element_at(tags, (F.col("p_partkey") % 10 + 1).cast("int")).alias("pos_tag"), (F.col("p_partkey") % 3).alias("word_id"))
+    return files.tagged_words(rows)
+
+
+@query
+def source_config(s: SparkSession, d: str) -> DataFrame:
+    path = new_path(s, "config")
+    lines = ["# folders", "ROOT_DIR = /data # of all", "INPUT_DIR=/data/in", "ROOT_DIR=/other", "no value", "EMPTY="]
+    s.range(1).select(F.lit("\n".join(lines)).alias("value")).coalesce(1).write.text(path)
+    found = files.read_config(path, s)
+    return s.createDataFrame(list(found.items()), "key string, value string")
+
+
+@query
+def sink_round_trip(s: SparkSession, d: str) -> DataFrame:
+    path = new_path(s, "result")
+    files.write_result(counters.item_supports(_brands(s, d)), path)
+    return s.read.parquet(path)
+
+
+@query
+def parameters_rejected(s: SparkSession, d: str) -> DataFrame:
+    """Which parameters are refused."""
+    cases = {"max_k 0": lambda: MiningParams(0), "minsup 0": lambda: MiningParams(minsup=0), "minconf -1": lambda: MiningParams(minconf=-1), "rounding up": lambda: MiningParams(rounding="up"), "top_n -1": lambda: CFParams(top_n=-1), "sound": MiningParams, "sound cf": CFParams}
+
+    def refused(make: Callable[[], object]) -> bool:
+        try:
+            make()
+        except ValueError:
+            return True
+        return False
+
+    return s.createDataFrame([(name, refused(make)) for name, make in cases.items()], "parameters string, refused boolean")
+
+
+@query
+def itemset_support(s: SparkSession, d: str) -> DataFrame:
+    found = itemsets.apriori(_ten(s), MiningParams(3, 0.3, 0.4)).itemsets
+    both = itemsets.support_of(found, F.array(F.lit("b"), F.lit("c"))).union(itemsets.support_of(found, F.array(F.lit("a"), F.lit("z"))))
+    return _as_text(both)
+
+
+@query
+def itemsets_pushed(s: SparkSession, d: str) -> DataFrame:
+    """What is pushed again does not change: pairs of all orders, then those of orders before 1000."""
+    first = itemsets.apriori(_brands(s, d).filter("tid < 1000"), BRAND).itemsets
+    return _as_text(itemsets.push(first, itemsets.apriori(_brands(s, d), BRAND).itemsets))
+
+
+@query
+def apriori_type_floor(s: SparkSession, d: str) -> DataFrame:
+    return _as_text(itemsets.apriori(_types(s, d), MiningParams(2, 0.10007, 0.2, rounding="floor")).itemsets)
+
+
+@query
+def compare_thresholds(s: SparkSession, d: str) -> DataFrame:
+    """Itemsets of a lower least support that those of a higher one lack, and the other way round."""
+    low, high = (itemsets.vertical(_ten(s), MiningParams(3, x, 0.4)).itemsets for x in (0.3, 0.5))
+    found = itemsets.differences(low, high).union(itemsets.differences(high, low))
+    return found.select("k", text_of(F.col("itemset")).alias("itemset"), "problem")
+
+
+@query
+def index_bucketed_lookup(s: SparkSession, d: str) -> DataFrame:
+    """An index written as a bucketed table and read back."""
+    path = new_path(s, "index")
+    name = "index_" + path.rsplit("-", 1)[-1]
+    index.write(_index(s, d), name, 8, path)
+    return index.intersect(s.table(name), ["Brand#11", "Brand#12"])
+
+
+@query
+def index_local_catalogs(s: SparkSession, d: str) -> DataFrame:
+    return index.consolidate(index.local_catalogs(_index(s, d), 7))
+
+
+@query
+def stream_supports(s: SparkSession, d: str) -> DataFrame:
+    """Supports kept up to date over micro-batches of one file each."""
+    source, kept, log = (new_path(s, x) for x in ("stream", "supports", "stream-log"))
+    _brands(s, d).repartition(3, "tid").write.parquet(source)
+    occ = s.readStream.schema("tid long, item string").option("maxFilesPerTrigger", 1).parquet(source)
+    supports.maintain_supports(occ, kept, log).awaitTermination()
+    return supports.current_supports(s, kept)
