@@ -76,9 +76,13 @@ def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, to
 
     ``weight``, a column of ``table``, says how many of ``total`` rows have the key; it is dropped.
     Keys with more than a ``HOT_PARTS``-th of all rows are ``HOT_PARTS`` at most, so their part of
-    the table is broadcast; the other rows are shuffled.
+    the table is broadcast; the other rows are shuffled. The table is written, if it isn't, so that
+    it is made once.
     """
-    hot = table.filter(F.col(weight) * HOT_PARTS > total).drop(weight)
-    cold = table.filter(F.col(weight) * HOT_PARTS <= total).drop(weight)
+    table = table if getattr(table, "_stored_at", None) else materialize(table, "keys")
+    is_hot = F.col(weight) * HOT_PARTS > total
+    hot, cold = table.filter(is_hot).drop(weight), table.filter(~is_hot).drop(weight)
+    if not hot.take(1):
+        return rows.join(cold, keys)
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
     return rows.join(F.broadcast(hot), keys).unionByName(rest)
