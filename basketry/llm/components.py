@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import discard, join_hot, materialize
+from basketry.llm.common import discard, materialize
+from basketry.storage import HOT_PARTS
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, root (the least node of its component) for every end of ``edges`` (a, b: long).
 
     Each round relinks neighbours to a node's least neighbour, by an aggregate that is partial on
-    the map side and a join that spreads a hot node's edges, so that no task holds a node's
-    neighbourhood; the table stays linear in the number of nodes. Rounds end when the edges no
-    longer change and every edge leads to a root. The edges of a round are deleted after the next.
+    the map side and a join, so that no task holds a node's neighbourhood; the table stays linear in
+    the number of nodes. Nodes with more than a ``HOT_PARTS``-th of all edges, ``HOT_PARTS`` at
+    most, are found first: their least neighbours are part of the plan and their edges stay where
+    they are. Rounds end when the edges no longer change and every edge leads to a root. The edges
+    of a round are deleted after the next.
     """
     now = materialize(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(now)
@@ -22,7 +25,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not state[0]:
             break
         before, last = state, now
-        now = materialize(_small_star(_large_star(now, state[0]), state[0]), "edges")
+        now = materialize(_small_star(_large_star(now, state[0])), "edges")
         state = _state(now)
         discard(last)
         if state == before:
@@ -39,13 +42,21 @@ def _state(edges: DataFrame) -> tuple:
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")).select("a", F.least("a", "low").alias("low"), "n")
-    linked = join_hot(both, least, ["a"], "n", 2 * total).filter(F.col("b") > F.col("a"))
-    return linked.select(F.col("b").alias("a"), F.col("low").alias("b")).filter(F.col("a") != F.col("b"))
-
-
-def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    least = both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
+    hot = {r["a"]: min(r["a"], r["low"]) for r in least.filter(F.col("n") * HOT_PARTS > 2 * total).collect()}
+    cold = both.filter(~F.col("a").isin(*hot)) if hot else both
+    least = cold.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+    linked = cold.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b"))
+    if hot:
+        low = F.create_map(*(F.lit(x) for pair in hot.items() for x in pair))
+        spread = both.filter(F.col("a").isin(*hot) & (F.col("b") > F.col("a")))
+        linked = linked.union(spread.select(F.col("b").alias("a"), low[F.col("a")].alias("b")))
+    return linked.filter(F.col("a") != F.col("b"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    # a node's smaller neighbours are few: edges lead to the least of a tree from the start
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
-    linked = join_hot(down, least, ["a"], "n", total).select(F.col("b").alias("a"), F.col("low").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("low"))
+    linked = down.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
     return linked.union(least.select("a", F.col("low").alias("b"))).filter(F.col("a") != F.col("b")).distinct()

@@ -131,6 +131,14 @@ def pruned(a: np.ndarray, b: np.ndarray, needed: list[int], steps: list[int]) ->
     return alive
 
 
+def least_ids(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each node (an id) the least id that pairs of positions connect it with."""
+    root = forest(len(node), a, b)
+    least = node.copy()
+    np.minimum.at(least, root, node)
+    return least[root]
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Each of n nodes' least connected node."""
     root = np.arange(n)
@@ -228,9 +236,9 @@ def candidate_forest(reps: DataFrame, threshold: float, tolerance: float, bands:
         a, b = _alive(cuts, side, sketch, needed, steps)
         if not len(a):
             return None
-        root = forest(len(node), a, b)
-        linked = np.flatnonzero(root != np.arange(len(node)))
-        return pa.RecordBatch.from_pydict({"a": pa.array(node[linked]), "b": pa.array(node[root[linked]])})
+        least = least_ids(node, a, b)
+        linked = np.flatnonzero(least != node)
+        return pa.RecordBatch.from_pydict({"a": pa.array(node[linked]), "b": pa.array(least[linked])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _by_group(batches, solve, lambda b: b.num_rows * 200)
@@ -287,9 +295,9 @@ def verified_links(docs: DataFrame, homes: DataFrame, id_col: str, text_col: str
         if not ends:
             return None
         a, b = (np.concatenate(x) for x in zip(*ends))
-        root = forest(len(g), a, b)
+        least = least_ids(node, a, b)
         linked = np.flatnonzero(links)
-        return pa.RecordBatch.from_pydict({"set_id": pa.array(node[linked]), "n_links": pa.array(links[linked]), "root": pa.array(node[root[linked]])})
+        return pa.RecordBatch.from_pydict({"set_id": pa.array(node[linked]), "n_links": pa.array(links[linked]), "root": pa.array(least[linked])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = (part for batch in _once(batches) for part in slices(batch, "text"))
