@@ -175,23 +175,26 @@ def _by_size(templates: list[tuple[str, str]], size: int) -> dict[int, list[tupl
     return dict(sorted(out.items()))
 
 
+def _shapes(templates: list[tuple[str, str]], size: int, containment: float, certainty: float) -> tuple[dict, list[int], list]:
+    """Templates by their shingle; the shingles' sizes; and of each class: length, bands, templates, place of its shingle's size."""
+    by_size = _by_size(templates, size)
+    sizes = list(by_size)
+    # shorter templates have a class for each length
+    return by_size, sizes, [(length, bands, group, k) for k, n in enumerate(sizes) for length, bands, group in _classes(by_size[n], n, containment, certainty)]
+
+
 def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES + SHORT_TEMPLATES, id_col: str = "doc_id", text_col: str = "text", size: int = 5, containment: float = 0.8, certainty: float = 0.99999) -> DataFrame:
     """doc_id, license, containment (the best), first_word and n_words of the window where it is, n_windows."""
     spark = docs.sparkSession
-    by_size = _by_size(templates, size)
-    sizes = list(by_size)
-    # class length, bands, templates, place of the class's shingle size; shorter templates have a class for each length
-    classes = [(length, bands, group, k) for k, n in enumerate(sizes) for length, bands, group in _classes(by_size[n], n, containment, certainty)]
-    given = []
-    known: dict[int, list[int]] = {}
-    for length, bands, group, k in classes:
-        rows = spark.createDataFrame([(length, *t) for t in group], "class int, template int, license string, notice string")
-        rows = rows.withColumn("grams", F.array_distinct(shingle_hashes(words_of(F.col("notice")), sizes[k])))
-        known[length] = sorted({x for r in rows.select("grams").collect() for x in r["grams"]})  # of the fixed templates
-        given.append(rows.select("class", "template", "license", "grams", F.explode(band_keys(F.col("grams"), bands)).alias("key")))
-    bands_of = given[0]
-    for more in given[1:]:
-        bands_of = bands_of.union(more)
+    by_size, sizes, classes = _shapes(templates, size, containment, certainty)
+    told = [F.struct(F.lit(length).alias("class"), F.lit(k).alias("own"), F.lit(number).alias("template"), F.lit(license_).alias("license"), F.lit(notice).alias("notice")) for length, _, group, k in classes for number, license_, notice in group]
+    given = spark.range(0, 1, 1, 1).select(F.inline(F.array(*told)))
+    given = given.withColumn("grams", F.coalesce(*(F.when(F.col("own") == k, F.array_distinct(shingle_hashes(words_of(F.col("notice")), n))) for k, n in enumerate(sizes))))
+    known: dict[int, list[int]] = {length: [] for length, *_ in classes}
+    for r in given.select("class", "grams").collect():  # a row for each of the fixed templates
+        known[r["class"]] = sorted({*known[r["class"]], *r["grams"]})
+    keys = F.coalesce(*(F.when(F.col("class") == length, band_keys(F.col("grams"), bands)) for length, bands, _, _ in classes))
+    bands_of = given.select("class", "template", "license", "grams", F.explode(keys).alias("key"))
 
     def of_class_windows(grams: Column, length: int, own: int) -> Column:
         width, step = window_shape(length)
@@ -241,3 +244,23 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES +
 
     stands = F.filter("all", lambda x: ~F.exists("all", lambda y: outdone(x, y)))
     return of_doc.select("doc_id", F.inline(stands))
+
+
+def oracle(docs: str, templates: list[tuple[str, str]] = TEMPLATES + SHORT_TEMPLATES, size: int = 5, containment: float = 0.8) -> str:
+    """DuckDB SQL for license_scan(docs): the exact containment of every window that holds a shingle of a template; ``docs`` is a table."""
+    _, sizes, classes = _shapes(templates, size, containment, 0.5)
+    rows = [(length, *window_shape(length), sizes[k], length * 1000 + number, license_, notice.replace("'", "''")) for length, _, group, k in classes for number, license_, notice in group]
+    values = ", ".join("({}, {}, {}, {}, {}, '{}', '{}')".format(*r) for r in rows)
+    words = lambda text: f"list_filter(string_split_regex(lower({text}), '[^a-z0-9]+'), lambda x: x <> '')"
+    grams = lambda own: f"list_transform(range(1, len(w) - {own} + 2), lambda i: array_to_string(w[i:i + {own} - 1], ' '))"
+    of_docs = " UNION ALL ".join(f"SELECT doc_id, r, {n} AS own, unnest({grams(n)}) AS gram, unnest(range(len(w) - {n - 1})) AS i FROM d WHERE len(w) >= {n}" for n in sizes)
+    return f"""
+WITH tw AS (SELECT class, width, step, own, template, license, {words("notice")} AS w FROM (VALUES {values}) v(class, width, step, own, template, license, notice)),
+tg AS MATERIALIZED (SELECT DISTINCT class, width, step, own, template, license, gram FROM (SELECT *, unnest({grams("own")}) AS gram FROM tw)),
+tn AS (SELECT template, count(*) AS n FROM tg GROUP BY 1),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {words("coalesce(text, '')")} AS w FROM {docs}),
+h AS (SELECT doc_id, r, class, width, step, template, license, gram, unnest(range(greatest(0, ceil((i + own - width) / step))::BIGINT, i // step + 1)) * step AS start FROM ({of_docs}) JOIN tg USING (own, gram)),
+c AS (SELECT doc_id, license, class, width, start, max(share) AS share FROM (SELECT doc_id, r, license, class, width, template, start, count(DISTINCT gram) / any_value(n) AS share FROM h JOIN tn USING (template) GROUP BY ALL) WHERE share >= {containment} GROUP BY ALL),
+o AS (SELECT doc_id, license, max({{'c': round(share, 12), 'b': -start, 'w': width}}) AS best, count(*) AS n_windows FROM c GROUP BY ALL),
+a AS MATERIALIZED (SELECT doc_id, license, best.c AS containment, -best.b AS first_word, best.w::BIGINT AS n_words, n_windows FROM o)
+SELECT * FROM a x WHERE NOT EXISTS (SELECT 1 FROM a y WHERE y.doc_id IS NOT DISTINCT FROM x.doc_id AND y.n_words >= {size} AND y.containment > x.containment AND y.first_word < x.first_word + x.n_words AND x.first_word < y.first_word + y.n_words)"""

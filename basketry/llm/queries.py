@@ -79,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _HARD_SQL = "SELECT -7, {turn}, '{role}', '\\### Assistant: </turn> ok'"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": license_scan.oracle("documents"),
     "op5_quality_rules": quality_rules.oracle("documents"),
     "op2_ngram_jaccard_join": ngram_join.oracle("documents"),
     "op3_chat_format": chat_format.oracle("(SELECT conv_id, turn, role, text FROM conversations UNION ALL " + _HARD_SQL.format(turn=0, role="user") + " UNION ALL " + _HARD_SQL.format(turn=1, role="assistant") + ")"),
