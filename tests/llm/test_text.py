@@ -70,6 +70,31 @@ def test_short_notices(spark):
     assert set(scan(spark, [(1, altered)])) == {(1, "proprietary"), (1, "all-rights-reserved")}
 
 
+def test_notices_against_their_sql(spark):
+    """Cut, altered and mixed notices in long texts, with repeated and null ids."""
+    import duckdb
+
+    draw = random.Random(15)
+    every = [t for _, t in license_scan.TEMPLATES + license_scan.SHORT_TEMPLATES]
+    rows = []
+    for k in range(150):
+        parts = []
+        for _ in range(draw.randint(1, 4)):
+            words = draw.choice(every).split()
+            for _ in range(draw.randint(0, max(1, len(words) // 9))):
+                words[draw.randrange(len(words))] = "other"
+            parts += ["noise " * draw.randint(0, 40), " ".join(words[: draw.randint(len(words) * 3 // 4, len(words))])]
+        rows.append((k // 2 if k % 7 else None, " ".join(parts)))
+    rows += [(900, None), (901, ""), (902, ("word " * 500 + every[0]) * 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE docs (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO docs VALUES (?, ?)", rows)
+    found = [tuple(r) for r in license_scan.license_scan(docs).collect()]
+    assert len(found) > 60 and sorted(map(repr, found)) == sorted(map(repr, con.sql(license_scan.oracle("docs")).fetchall()))
+    assert license_scan.license_scan(docs.filter("false")).collect() == []
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
 def test_last_lines_of_the_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
