@@ -457,10 +457,12 @@ def index_of_xml(s: SparkSession, d: str) -> DataFrame:
 @query
 def source_text_files(s: SparkSession, d: str) -> DataFrame:
     """Names of nations, in a charset of their own, a file each, and their words."""
-    s.conf.set("spark.sql.legacy.javaCharsets", "true")
     path = new_path(s, "texts")
     rows = tables.table(s, d, "nation").select("n_nationkey", F.concat(F.col("n_name"), F.lit(" \u56fd\u5bb6\u4fe1\u606f "), F.lower("n_name")).alias("value"))
+    before = s.conf.get("spark.sql.legacy.javaCharsets", "false")
+    s.conf.set("spark.sql.legacy.javaCharsets", "true")  # to write it; reading needs no setting
     rows.repartition(25, "n_nationkey").write.partitionBy("n_nationkey").option("encoding", "GBK").csv(path)
+    s.conf.set("spark.sql.legacy.javaCharsets", before)
     docs = files.text_documents(s, f"{path}/*/*.csv", "GBK")
     return docs.select("text")
 

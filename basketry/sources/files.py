@@ -36,15 +36,21 @@ def text_documents(spark: SparkSession, path: str, charset: str = "UTF-8") -> Da
     """tid (dense, by path), doc_name, text: one row per file of a directory, decoded and read whole.
 
     Only names are sorted to be numbered; texts are joined to their numbers. Charsets beyond
-    Spark's own (GBK, GB2312) need ``spark.sql.legacy.javaCharsets``; where it is not set, they
-    raise an error.
+    Spark's own (GBK, GB2312) are decoded in Python, batch by batch.
     """
-    if charset.upper() not in ("UTF-8", "US-ASCII", "ISO-8859-1", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32") and spark.conf.get("spark.sql.legacy.javaCharsets", "false") != "true":
-        raise ValueError(f"{charset} needs spark.sql.legacy.javaCharsets")
-    files = spark.read.format("binaryFile").load(path)
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
     numbers = with_dense_ids(files.select("path"), "path", "tid")
-    rows = files.join(numbers, "path")
-    return rows.select("tid", F.element_at(F.split("path", "/"), -1).alias("doc_name"), F.decode("content", charset).alias("text"))
+    if charset.upper() in ("UTF-8", "US-ASCII", "ISO-8859-1", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32"):
+        texts = files.select("path", F.decode("content", charset).alias("text"))
+    else:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                told = [x.decode(charset, "replace") for x in batch.column("content").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(told, pa.string())], ["path", "text"])
+
+        texts = files.mapInArrow(run, "path string, text string")
+    return texts.join(numbers, "path").select("tid", F.element_at(F.split("path", "/"), -1).alias("doc_name"), "text")
 
 
 def document_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = WORD) -> DataFrame:

@@ -93,6 +93,20 @@ def test_predictions_at_all_thresholds(spark, toy):
     assert items == {(r["user_id"], r["item_id"], t): r["raw"] for t in steps for r in recommend.item_based(toy, CFParams(t)).collect()}
 
 
+def test_repeated_ratings_count_once(spark):
+    rows = [(0, 1, 5.0, 1), (0, 1, 1.0, 2), (1, 1, 4.0, 1), (1, 2, 2.0, 2), (1, 2, 3.0, 1), (2, 2, 1.0, 1), (2, 2, 1.0, 1)]
+    ratings = spark.createDataFrame(rows, "user_id long, item_id long, score double, ts long")
+    rules = spark.createDataFrame([([1, 2], [3], 0.9)], "antecedent array<long>, consequent array<long>, confidence double")
+    assert [tuple(r) for r in recommend.rule_based(ratings, rules).collect()] == [(1, 3, 3.5)]
+    assert {(r["a"], r["b"]): (r["n"], r["sxy"]) for r in similarity.pair_sums(similarity.user_rows(similarity.one_score(ratings))).collect()} == {(0, 1): (1, 20.0), (1, 2): (1, 3.0)}
+
+
+def test_popular_keys_are_cut(spark):
+    rows = spark.createDataFrame([(t, k, float(t * k % 5)) for t in range(60) for k in range(3) if (t + k) % 4], "thing long, key long, score double")
+    sums = [sorted(map(tuple, similarity.pair_sums(rows, block).collect())) for block in (7, 1000)]
+    assert sums[0] == sums[1] and len(sums[0]) > 1000
+
+
 def test_grid_has_every_point(spark, toy):
     test = memory_ratings(spark, {0: {0: 3.0, 2: 2.0}, 3: {1: 4.0}, 99: {1: 5.0}})
     steps, alphas = [0.0, 0.3, 1.5], [0.5, 0.8]

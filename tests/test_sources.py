@@ -25,7 +25,9 @@ def test_text_documents_decode(spark, tmp_path):
 def test_document_words(spark):
     docs = spark.createDataFrame([(1, "Dogs bark. dogs RUN far"), (2, None)], "doc_id long, text string")
     rows = {r["item"]: (r["cnt"], r["positions"], r["length"]) for r in files.document_words(docs).collect()}
-    assert rows == {"dogs": (2, [0, 2], 4), "bark": (1, [1], 4)}
+    assert rows == {"dogs": (2, [0, 11], 4), "bark": (1, [5], 4)}
+    rows = {r["item"]: (r["positions"], r["length"]) for r in files.document_words(spark.createDataFrame([(1, "日本語 Größe, größe 語語語語")], "doc_id long, text string")).collect()}
+    assert rows == {"größe": ([10, 19], 7), "語語語語": ([27], 12)}
 
 
 def test_word_classes(spark):
@@ -34,13 +36,13 @@ def test_word_classes(spark):
 
 
 def test_ratings_and_config_and_sink(spark, tmp_path):
-    (tmp_path / "r.txt").write_text("1\t7\t3.5\t99\n2\t8\t4\t98\n")
+    (tmp_path / "r.txt").write_text("1\t7\t3.5\t99\n2\t8\t4\t98\n1\t7\t1.0\t100\n2\t8\t5\t98\n")
     rows = files.tsv_ratings(spark, str(tmp_path / "r.txt"))
     assert sorted(map(tuple, rows.collect())) == [(1, 7, 3.5, 99), (2, 8, 4.0, 98)]
     files.write_result(rows, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
     (tmp_path / "c.conf").write_text("# note\nA=1\nB = two # rest\nA=3\n\nbroken\n")
-    assert files.read_config(str(tmp_path / "c.conf")) == {"A": "1", "B": "two"}
+    assert files.read_config(str(tmp_path / "c.conf")) == {"A": "1", "B": "two"} == files.read_config(str(tmp_path / "c.conf"), spark)
 
 
 def test_memory_baskets_want_as_many_tids(spark):
@@ -82,6 +84,26 @@ def test_index(spark):
     spark.sql("DROP TABLE postings")
 
 
+def test_first_key_info_stays(spark):
+    rows = spark.createDataFrame([(5, "dog", "b", 1), (2, "dog", "z", 2), (9, "dog", "a", 3), (1, "cat", "c", 9)], "record_id long, item string, key_info string, seq long")
+    info = lambda built: {r["item"]: r["key_info"] for r in built.collect()}
+    assert info(index.build(rows)) == {"dog": "b", "cat": "c"} and info(index.build(rows.drop("seq"))) == {"dog": "z", "cat": "c"}
+
+
+def test_places_within_hot_items(spark):
+    """A frequent item's list spans parts, others share one."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = [(r, "hot") for r in range(500)] + [(r, f"w{r % 7}") for r in range(60)] + [(1, "a"), (2, "z")]
+        placed = index.ranked_postings(spark.createDataFrame(rows, "record_id long, item string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    lists = {}
+    for record, item in rows:
+        lists.setdefault(item, []).append(record)
+    assert sorted((r["item"], r["record_id"], r["place"]) for r in placed) == sorted((i, r, k + 1) for i, own in lists.items() for k, r in enumerate(sorted(own, reverse=True)))
+
+
 def test_words_of_all_documents(spark, tmp_path):
     from basketry.sources import tables
 
