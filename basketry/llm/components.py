@@ -20,30 +20,32 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     of a round are deleted after the next.
     """
     now = materialize(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = _state(now)
+    state = _survey(now, 2 * now.count())
     for _ in range(max_rounds):
         if not state[0]:
             break
         before, last = state, now
-        now = materialize(_small_star(_large_star(now, state[0])), "edges")
-        state = _state(now)
+        now = materialize(_small_star(_large_star(now, state[2])), "edges")
+        state = _survey(now, 2 * state[0])
         discard(last)
-        if state == before:
+        if state[:2] == before[:2]:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
-    return row["n"], row["h"]
+def _survey(edges: DataFrame, total: int) -> tuple[int, int, dict[int, int]]:
+    """How many edges there are, a hash of them, and the nodes with more than a ``HOT_PARTS``-th of ``total`` ends, with the least of each and its neighbours."""
+    both = edges.select("a", "b", F.xxhash64("a", "b").alias("h")).union(edges.select("b", "a", F.lit(0).cast("long")))
+    nodes = both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"), F.bit_xor("h").alias("h"))
+    hot = F.collect_list(F.when(F.col("n") * HOT_PARTS > total, F.struct("a", F.least("a", "low").alias("low"))))
+    row = nodes.agg(F.sum("n").alias("n"), F.bit_xor("h").alias("h"), hot.alias("hot")).first()
+    return (row["n"] or 0) // 2, row["h"], {r["a"]: r["low"] for r in row["hot"]}
 
 
-def _large_star(edges: DataFrame, total: int) -> DataFrame:
+def _large_star(edges: DataFrame, hot: dict[int, int]) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
-    hot = {r["a"]: min(r["a"], r["low"]) for r in least.filter(F.col("n") * HOT_PARTS > 2 * total).collect()}
     cold = both.filter(~F.col("a").isin(*hot)) if hot else both
     least = cold.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
     linked = cold.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b"))
