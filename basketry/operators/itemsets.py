@@ -121,8 +121,8 @@ def fp_growth(occ: DataFrame, params: MiningParams) -> Frequent:
     base, _, baskets, least = _start(occ, params)
     # half a basket below the count: the miner rounds its threshold up. It counts the rows it is given, which are those with a frequent item
     rows = base.count()
-    model = FPGrowth(itemsCol="items", minSupport=max(0.0, (least - 0.5) / max(1, rows))).fit(base)
-    sets = model.freqItemsets.filter(F.size("items") <= params.max_k)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(1, rows))).fit(base)
+    sets = model.freqItemsets.filter((F.size("items") <= params.max_k) & (F.col("freq") >= least))
     return Frequent(sets.select(F.size("items").alias("k"), F.array_sort("items").alias("itemset"), F.col("freq").alias("support")), baskets, least)
 
 
