@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm.common import bounded_batches, materialize, slices, text_of
+from basketry.llm.token_counts import settings_of
 
 _encoders: dict[tuple, _ChunkEncoder] = {}
 
@@ -34,6 +35,16 @@ _encoders: dict[tuple, _ChunkEncoder] = {}
 _PLAIN = re.compile(r"([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
+#: The settings of a vocabulary file for which this holds.
+CHUNKS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+
+
 class _ChunkEncoder:
     """Token ids of whole texts, as little-endian 32-bit bytes, from a cache of white-space chunks.
 
@@ -43,7 +54,8 @@ class _ChunkEncoder:
     New words go through the library many at a time, already split; a word's last token, and
     no other, is one with an end mark. Other chunks go to the library one by one, and texts that
     may hold special tokens or one of the four separators that Python's split() takes for white
-    space and the vocabulary doesn't go there whole.
+    space and the vocabulary doesn't go there whole. So do all texts where the vocabulary file
+    normalises or splits in another way.
     """
 
     def __init__(self, path: str, cache_entries: int) -> None:
@@ -53,6 +65,9 @@ class _ChunkEncoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.fits = settings_of(path) == CHUNKS
         self.words_only = Tokenizer.from_file(path)
         self.words_only.normalizer = normalizers.Sequence([])
         self.words_only.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -99,7 +114,7 @@ class _ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = self.odd
-        chunks = [None if any(x in t for x in odd) else t.split() for t in texts]
+        chunks = [None if not self.fits or any(x in t for x in odd) else t.split() for t in texts]
         self._learn(set().union(*(c for c in chunks if c)))
         get = self.chunks.__getitem__
         return [b"".join(map(get, c)) if c is not None else self._whole(t) for t, c in zip(texts, chunks)]
