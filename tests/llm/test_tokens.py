@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import json
 import random
 import zlib
 
@@ -83,6 +84,29 @@ def test_decoding_in_stretches(monkeypatch):
     assert codec.decode(codec.encode(texts)) == [t.encode() for t in texts]
 
 
+def test_other_vocabulary_files_are_applied_whole(tmp_path):
+    told = json.loads(open(P.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    told["pre_tokenizer"]["add_prefix_space"] = True
+    told["truncation"] = {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}
+    path = str(tmp_path / "other.json")
+    open(path, "w", encoding="utf-8").write(json.dumps(told))
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    texts = [t or "" for _, t in TEXTS]
+    assert token_counts._Counter(path, {}, 10).count(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    told = json.loads(open(P.path("word_bpe_49k.json"), encoding="utf-8").read())
+    told["normalizer"]["normalizers"].pop()  # case is kept
+    open(path, "w", encoding="utf-8").write(json.dumps(told))
+    library = Tokenizer.from_file(path)
+    found = best_fit_packing._ChunkEncoder(path, 1000).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_the_files_are_what_the_encoders_are_made_for():
+    assert token_counts.settings_of(P.path("byte_bpe_50k.json")) == token_counts.SPLITS
+    assert token_counts.settings_of(P.path("word_bpe_49k.json")) == best_fit_packing.CHUNKS
+
+
 def pieces_of(texts, capacity=4096):
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     for d, t in texts:
