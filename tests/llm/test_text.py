@@ -85,7 +85,7 @@ def test_notices_against_their_sql(spark):
                 words[draw.randrange(len(words))] = "other"
             parts += ["noise " * draw.randint(0, 40), " ".join(words[: draw.randint(len(words) * 3 // 4, len(words))])]
         rows.append((k // 2 if k % 7 else None, " ".join(parts)))
-    rows += [(900, None), (901, ""), (902, ("word " * 500 + every[0]) * 200)]
+    rows += [(900, None), (901, ""), (902, ("word " * 500 + every[0]) * 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     con = duckdb.connect()
     con.execute("CREATE TABLE docs (doc_id BIGINT, text VARCHAR)")
