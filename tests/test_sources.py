@@ -112,3 +112,28 @@ def test_words_of_all_documents(spark, tmp_path):
     found = {(r["tid"], r["item"]) for r in tables.baskets_of_words(spark, str(tmp_path)).collect()}
     assert found == {(1, "some"), (1, "words"), (1, "here"), (2, "andere"), (2, "worte"), (3, "nulle"), (3, "langue")}
     assert {t for t, _ in ((r["tid"], r["item"]) for r in tables.baskets_of_words(spark, str(tmp_path), "de").collect())} == {2}
+
+
+#: Texts without words between others, in one file; letters whose small forms differ in length or by place.
+ODD_TEXTS = [(1, "some words here, some WORDS"), (2, ""), (3, None), (4, "a b, c 1234"), (5, "GROẞE große ὈΔΥΣΣΕΎΣ ὀδυσσεύς İSTANBUL istanbul ΣΑΣΑΣ"), (6, "..."), (7, "日本語日本 words")]
+
+
+def _same_as_sql(spark, folder, name):
+    import duckdb
+
+    from basketry.plans.oracle import ORACLE_SQL
+    from basketry.plans.queries import QUERIES
+
+    spark.createDataFrame(ODD_TEXTS, "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    found = QUERIES[name](spark, str(folder))
+    rows = sorted(map(tuple, found.collect()))
+    assert rows == sorted(con.sql(ORACLE_SQL[name]).select(*found.columns).fetchall())
+    return rows
+
+
+def test_words_where_some_documents_have_none(spark, tmp_path):
+    rows = _same_as_sql(spark, tmp_path, "source_document_words")
+    assert {r[0] for r in rows} == {1, 5, 7}
+    assert (1, "some", 2, 0, 17, 4) in rows and (5, "große", 2, 0, 8, 6) in rows
