@@ -137,3 +137,8 @@ def test_words_where_some_documents_have_none(spark, tmp_path):
     rows = _same_as_sql(spark, tmp_path, "source_document_words")
     assert {r[0] for r in rows} == {1, 5, 7}
     assert (1, "some", 2, 0, 17, 4) in rows and (5, "große", 2, 0, 8, 6) in rows
+
+
+def test_word_frequency_where_some_documents_have_none(spark, tmp_path):
+    rows = _same_as_sql(spark, tmp_path, "index_word_frequency")
+    assert {("some", 1), ("words", 2), ("große", 1), ("istanbul", 1), ("σασασ", 1)} <= set(rows)
