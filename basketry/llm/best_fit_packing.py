@@ -32,7 +32,8 @@ _encoders: dict[tuple, _ChunkEncoder] = {}
 
 
 #: A plain chunk: letters of ASCII and Latin-1, which have no combining forms, then ASCII punctuation but the apostrophe.
-_PLAIN = re.compile(r"([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+_LETTERS = "".join(chr(c) for c in range(0x100) if chr(c).isalpha() and c not in (0xAA, 0xB5, 0xBA))
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 #: The settings of a vocabulary file for which this holds.
@@ -46,14 +47,15 @@ CHUNKS = {
 
 
 class _ChunkEncoder:
-    """Token ids of whole texts, as little-endian 32-bit bytes, from a cache of white-space chunks.
+    """Token ids of whole texts, as little-endian 32-bit bytes, from those of their white-space chunks.
 
     The vocabulary drops white space before it splits words, so a text's ids are those of its
-    chunks in order. A plain chunk's ids are those of its letters in lower case, which the
+    chunks in order; equal chunks of a call are looked up once, and texts of ASCII alone are made
+    small before they are split. A plain chunk's ids are those of its letters in lower case, which the
     vocabulary takes for one word, and of its tail of punctuation, which it takes for another.
     New words go through the library many at a time, already split; a word's last token, and
     no other, is one with an end mark. Other chunks go to the library one by one, and texts that
-    may hold special tokens or one of the four separators that Python's split() takes for white
+    may hold special tokens (in any case, as small letters would make them some) or one of the four separators that split() takes for white
     space and the vocabulary doesn't go there whole. So do all texts where the vocabulary file
     normalises or splits in another way.
     """
@@ -68,56 +70,73 @@ class _ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.fits = settings_of(path) == CHUNKS
-        self.words_only = Tokenizer.from_file(path)
-        self.words_only.normalizer = normalizers.Sequence([])
+        # the byte level writes ASCII letters as themselves, so words of those need no splitter
+        self.words_only, self.ascii_only = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.words_only.normalizer = self.ascii_only.normalizer = normalizers.Sequence([])
         self.words_only.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.ascii_only.pre_tokenizer = pre_tokenizers.Sequence([])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = ["\x1c", "\x1d", "\x1e", "\x1f", *added]
-        self.room, self.chunks, self.words, self.tails = cache_entries, {}, {}, {"": b""}
+        self.odd = "|".join(map(re.escape, ["\x1c", "\x1d", "\x1e", "\x1f", *added]))
+        self.room, self.words, self.others = cache_entries, {"": b""}, {"": b""}
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn_words(self, words: set[str]) -> None:
-        missing = list(words.difference(self.words))
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, each given once."""
+        found = list(map(self.words.get, words))
+        missing = [word for word, ids in zip(words, found) if ids is None]
         if len(self.words) + len(missing) > self.room:
-            self.words = {}
-            missing = list(words)
-        for at in range(0, len(missing), 4000):
-            part = missing[at : at + 4000]
-            (found,) = self.words_only.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)
-            ids = np.asarray(found.ids, dtype="<u4")
-            ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
-            flat = ids.tobytes()
-            self.words.update(zip(part, [flat[i:j] for i, j in zip([0, *ends], ends)], strict=True))
-
-    def _learn(self, chunks: set[str]) -> None:
-        missing = list(chunks.difference(self.chunks))
-        if len(self.chunks) + len(missing) > self.room:
-            self.chunks = {}
-            missing = list(chunks)
-        bare = [chunk for chunk in missing if chunk.isascii() and chunk.isalpha()]
-        other = [(chunk, _PLAIN(chunk)) for chunk in missing if not (chunk.isascii() and chunk.isalpha())]
-        lower = [chunk.lower() for chunk in bare]
-        tailed = [(chunk, m[1].lower(), m[2]) for chunk, m in other if m]
-        self._learn_words({*lower, *(word for _, word, _ in tailed)})
-        self.chunks.update(zip(bare, map(self.words.__getitem__, lower)))
-        for tail in {tail for _, _, tail in tailed}.difference(self.tails):
-            self.tails[tail] = self._whole(tail)
-        self.chunks.update((chunk, self.words[word] + self.tails[tail]) for chunk, word, tail in tailed)
-        self.chunks.update((chunk, self._whole(chunk)) for chunk, m in other if not m)
-        if len(self.tails) > 50_000:
-            self.tails = {"": b""}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        odd = self.odd
-        chunks = [None if not self.fits or any(x in t for x in odd) else t.split() for t in texts]
-        self._learn(set().union(*(c for c in chunks if c)))
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, c)) if c is not None else self._whole(t) for t, c in zip(texts, chunks)]
+            self.words = {"": b""}
+            missing = [word for word in words if word]
+        for library, new in ((self.ascii_only, [word for word in missing if word.isascii()]), (self.words_only, [word for word in missing if not word.isascii()])):
+            for at in range(0, len(new), 4000):
+                part = new[at : at + 4000]
+                (coded,) = library.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)
+                ids = np.asarray(coded.ids, dtype="<u4")
+                ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
+                flat = ids.tobytes()
+                self.words.update(zip(part, [flat[i:j] for i, j in zip([0, *ends], ends)], strict=True))
+        return list(map(self.words.__getitem__, words)) if missing else found
+
+    def _others(self, chunks: list[str]) -> list[bytes]:
+        """Ids of tails, and of chunks that are not plain, each given once."""
+        missing = [chunk for chunk in chunks if chunk not in self.others]
+        if len(self.others) + len(missing) > self.room:
+            self.others = {}
+            missing = chunks
+        self.others.update((chunk, self._whole(chunk)) for chunk in missing)
+        return list(map(self.others.__getitem__, chunks))
+
+    def _chunks(self, chunks: pa.Array) -> pa.Array:
+        import pyarrow.compute as pc
+
+        word, tail = pc.ascii_rtrim(chunks, _TAIL), pc.utf8_ltrim(chunks, _LETTERS)
+        plain = pc.equal(pc.add(pc.binary_length(word), pc.binary_length(tail)), pc.binary_length(chunks))
+        word = pc.if_else(plain, pc.utf8_lower(word), "").dictionary_encode()
+        tail = pc.if_else(plain, tail, chunks).dictionary_encode()
+        strings = lambda x: x.dictionary.to_numpy(zero_copy_only=False).tolist()
+        told = lambda x, ids: pa.array(ids, pa.large_binary()).take(x.indices)
+        return pc.binary_join_element_wise(told(word, self._words(strings(word))), told(tail, self._others(strings(tail))), pa.scalar(b"", pa.large_binary()))
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        import pyarrow.compute as pc
+
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        whole = pc.match_substring_regex(column, self.odd, ignore_case=True) if self.fits else pa.array([True] * len(column), pa.bool_())
+        # nothing is split of texts that go to the library
+        split = pc.if_else(whole, "", column)
+        of_ascii = pc.equal(pc.binary_length(split).cast(pa.int64()), pc.utf8_length(split).cast(pa.int64()))
+        chunks = pc.utf8_split_whitespace(pc.if_else(of_ascii, pc.ascii_lower(split), split))
+        coded = chunks.flatten().dictionary_encode()
+        ids = self._chunks(coded.dictionary).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], dtype=np.int64)[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, dtype=np.int64)
+        at = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(chunks).to_numpy(zero_copy_only=False))]).astype(np.int64)].tolist()
+        flat = memoryview(ids.buffers()[2] or b"")
+        return [self._whole(column[k].as_py()) if odd else bytes(flat[i:j]) for k, (odd, i, j) in enumerate(zip(whole.to_pylist(), at, at[1:]))]
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, cache_entries: int = 1_500_000) -> DataFrame:
@@ -131,9 +150,9 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             _encoders[key] = _ChunkEncoder(path, cache_entries)
         encoder = _encoders[key]
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 8 << 20):
                 row, piece, start, length, crc = [], [], [], [], []
-                for k, ids in enumerate(encoder.encode(part.column("text").to_pylist())):
+                for k, ids in enumerate(encoder.encode(part.column("text"))):
                     ids += end
                     for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]

@@ -102,6 +102,21 @@ def test_other_vocabulary_files_are_applied_whole(tmp_path):
     assert [np.frombuffer(x, "<u4").tolist() for x in found] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_are_remembered_once():
+    path = P.path("word_bpe_49k.json")
+    library, encoder = Tokenizer.from_file(path), best_fit_packing._ChunkEncoder(path, 40)
+    draw = random.Random(5)
+    letters = ["fox", "FOX", "Fox", "\u00c9t\u00e9", "\u00c9T\u00c9", "\u00df", "\u00aa", "\u00b5", "\u0130", "\u03a3\u03a3", "e\u0301", "H\u0331", "\u0301", "3", "12a", "it's", "'s", "a" * 70]
+    joins = [" ", " ", "\n", "\t ", "\u00a0", "\x85", "\u2028", ",", "...", "'", "!) ", "-", "\x00", "\x1d", "<|endoftext|>", "<|EndOfText|>", ""]
+    texts = ["".join(draw.choice(letters) + draw.choice(joins) for _ in range(draw.randrange(9))) for _ in range(2000)] + ["<|EndOfText|>"]
+    for part in (texts, texts[:1], []):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(part)] == [library.encode(t, add_special_tokens=False).ids for t in part]
+    encoder = best_fit_packing._ChunkEncoder(path, 1000)
+    encoder.encode([" ".join(word + tail for word in ("fox", "FOX", "Fox") for tail in ("", ",", ".", "!", "?", ")", ";"))])
+    # a word, seven tails and nothing: no entry for each of the 21 chunks
+    assert sum(len(x) for x in vars(encoder).values() if isinstance(x, dict)) <= 10
+
+
 def test_the_files_are_what_the_encoders_are_made_for():
     assert token_counts.settings_of(P.path("byte_bpe_50k.json")) == token_counts.SPLITS
     assert token_counts.settings_of(P.path("word_bpe_49k.json")) == best_fit_packing.CHUNKS
