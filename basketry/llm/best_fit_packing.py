@@ -64,17 +64,15 @@ class _ChunkEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.fits = settings_of(path) == CHUNKS
-        # the byte level writes ASCII letters as themselves, so words of those need no splitter
-        self.words_only, self.ascii_only = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.words_only.normalizer = self.ascii_only.normalizer = normalizers.Sequence([])
+        # these share the model; the byte level writes ASCII letters as themselves, so words of those need no splitter
+        self.words_only, self.ascii_only = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
         self.words_only.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.ascii_only.pre_tokenizer = pre_tokenizers.Sequence([])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
@@ -150,7 +148,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             _encoders[key] = _ChunkEncoder(path, cache_entries)
         encoder = _encoders[key]
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 4 << 20):
                 row, piece, start, length, crc = [], [], [], [], []
                 for k, ids in enumerate(encoder.encode(part.column("text"))):
                     ids += end
@@ -162,6 +160,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                         length.append(len(own) // 4)
                         crc.append(zlib.crc32(own))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     rows = text_of(docs, id_col, text_col)
     return rows.mapInArrow(cut, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")

@@ -51,6 +51,14 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = 2 << 20) -> Iterator[p
         done, start = int(sizes[stop - 1]), stop
 
 
+def column_parts(column: pa.Array, limit: int = 1 << 18) -> Iterator[pa.Array]:
+    """Cut a column of texts likewise, at least into one part: work on bytes takes many times a part's size."""
+    if not len(column):
+        yield column
+    for part in slices(pa.RecordBatch.from_arrays([column], ["text"]), "text", limit):
+        yield part.column("text")
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts of an Arrow string column end to end, and where each begins (one more than rows)."""
     column = column.cast(pa.large_binary())

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import bounded_batches, join_hot, materialize, slices, text_bytes
+from basketry.llm.common import bounded_batches, column_parts, join_hot, materialize, slices, text_bytes
 
 BUCKETS = 1 << 13
 UNKNOWN = "und"
@@ -71,6 +71,16 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key[use].astype(np.int64), text[use], total[offsets[1:]] - total[offsets[:-1]]
 
 
+def likelihoods(column: pa.Array, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts by languages: the logarithm of each text's likelihood; and each text's letters."""
+    found, told = [], []
+    for part in column_parts(column):
+        key, text, letters = trigrams(part)
+        found.append(np.stack([np.bincount(text, weights=row[key], minlength=len(part)) for row in logs], axis=1))
+        told.append(letters)
+    return np.concatenate(found), np.concatenate(told)
+
+
 def text_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500, max_languages: int = 1024) -> TextModel:
     """Learn all languages, each from a sample of about ``per_language`` ids."""
     bounded_batches(labelled.sparkSession)
@@ -87,7 +97,7 @@ def text_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 18):
                 key, text, _ = trigrams(part.column("text"))
                 langs = part.column("lang").to_pylist()
                 for lang in set(langs):
@@ -117,9 +127,8 @@ def evidence(rows: DataFrame, model: TextModel, temper: float = 0.25) -> DataFra
         logs = given.value
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                key, text, letters = trigrams(part.column("text"))
-                n = part.num_rows
-                found = np.stack([np.bincount(text, weights=row[key], minlength=n) for row in logs], axis=1) * temper
+                found, letters = likelihoods(part.column("text"), logs)
+                found *= temper
                 found -= found.max(axis=1, keepdims=True)
                 soft = np.exp(found)
                 soft /= soft.sum(axis=1, keepdims=True)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import bounded_batches, materialize, slices, text_of
+from basketry.llm.common import bounded_batches, column_parts, materialize, slices, text_of
 from basketry.llm.quality_rules import COMMON_WORDS
 from basketry.llm.text_stats import Stats, common_table
 
@@ -43,6 +43,10 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def text_features(column: pa.Array) -> np.ndarray:
     """Texts by features, from the text alone."""
+    return np.concatenate([_features(part) for part in column_parts(column)])
+
+
+def _features(column: pa.Array) -> np.ndarray:
     s = Stats(column)
     words = s.n_words.astype(float)
     chars = s.classes.sum(axis=1).astype(float)

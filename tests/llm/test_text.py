@@ -5,8 +5,10 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -325,6 +327,22 @@ def test_jensen_shannon(spark):
     assert (row["far"], row["same"]) == (pytest.approx(1), pytest.approx(0))
 
 
+@pytest.mark.parametrize("work", [quality_classifier.text_features, lambda column: language_id.likelihoods(column, np.ones((4, language_id.BUCKETS)))[0]])
+def test_work_on_many_texts_takes_little_memory(work):
+    draw = random.Random(3)
+    words = SAMPLES["de"].split() + ["|", "3", "WORD!", "\n"]
+    texts = ["", *(" ".join(draw.choices(words, k=draw.randrange(700))) for _ in range(1000)), " ".join(words * 3000)]
+    column = pa.array(texts)
+    work(column)  # what is kept for later calls
+    tracemalloc.start()
+    found = work(column[:-1])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 1001 and most < 12 * column[:-1].nbytes
+    assert work(column).tolist() == [work(column[k : k + 1])[0].tolist() for k in range(len(column))]
+    assert len(work(column[:0])) == 0
+
+
 def test_classifier_learns_and_never_sees_held_out_labels(spark):
     draw = random.Random(2)
     rows = [(k, prose(draw, 120) if k % 3 else re.sub(" ", " ## ", prose(draw, 60)), "p") for k in range(400)]
