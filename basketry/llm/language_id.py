@@ -76,7 +76,7 @@ def likelihoods(column: pa.Array, logs: np.ndarray) -> tuple[np.ndarray, np.ndar
     found, told = [], []
     for part in column_parts(column):
         key, text, letters = trigrams(part)
-        found.append(np.stack([np.bincount(text, weights=row[key], minlength=len(part)) for row in logs], axis=1))
+        found.append(np.stack([np.bincount(text, weights=row[key], minlength=len(part)) for row in logs], axis=1).astype(float))  # counts of nothing are whole numbers
         told.append(letters)
     return np.concatenate(found), np.concatenate(told)
 

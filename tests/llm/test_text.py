@@ -341,6 +341,7 @@ def test_work_on_many_texts_takes_little_memory(work):
     assert len(found) == 1001 and most < 12 * column[:-1].nbytes
     assert work(column).tolist() == [work(column[k : k + 1])[0].tolist() for k in range(len(column))]
     assert len(work(column[:0])) == 0
+    assert work(pa.array(["", "a"])).dtype == float
 
 
 def test_classifier_learns_and_never_sees_held_out_labels(spark):
