@@ -2,7 +2,7 @@ import itertools
 
 import pytest
 
-from basketry.operators import evaluate, recommend, similarity
+from basketry.operators import evaluate, recommend, similarity, strips
 from basketry.operators.itemsets import apriori
 from basketry.operators.rules import rules
 from basketry.params import CFParams, MiningParams
@@ -116,3 +116,73 @@ def test_grid_has_every_point(spark, toy):
     for (x, y, a), mae in found.items():
         both = recommend.hybrid(recommend.user_based(toy, CFParams(x)), recommend.item_based(toy, CFParams(y)), a)
         assert mae == pytest.approx(evaluate.errors(both, test, toy).first()["mae"], abs=2e-6)
+
+
+@pytest.fixture(scope="module")
+def crowd(spark):
+    """Two strips of users; items that all rate, that few rate, and that a few tens rate."""
+    rows = [(f"u{u:04}", i, float((u * 7 + i * 3 + u // 11) % 9 + 1)) for u in range(200) for i in range(70) if (u + i) % (1 + i) == 0 or (u * i) % 13 == 5]
+    return spark.createDataFrame(rows, "user_id string, item_id long, score double").persist()
+
+
+def both_forms(monkeypatch, make):
+    """What ``make`` gives by strips and by joins, sorted, with real numbers last and rounded."""
+    out = []
+    for few in (0, 10**9):
+        monkeypatch.setattr(strips, "FEW_THINGS", few)
+        found = make().toPandas().round(6)
+        out.append(found.sort_values(list(found.columns), ignore_index=True))
+    assert len(out[0]) > 500
+    return out
+
+
+def is_one_pass(df):
+    """No pair is a row of a join or an aggregate."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.index("MapInArrow") < min((plan.find(x) for x in ("Aggregate", "Join") if x in plan), default=len(plan))
+
+
+def test_pair_sums_by_strips(crowd, monkeypatch):
+    rows = similarity.user_rows(crowd)
+    strip, join = both_forms(monkeypatch, lambda: similarity.pair_sums(rows))
+    assert strip.equals(join[strip.columns])
+    monkeypatch.setattr(strips, "FEW_THINGS", 0)
+    assert is_one_pass(similarity.pair_sums(rows, only=("n",)))
+
+
+@pytest.mark.parametrize("measure", [similarity.euclidean, similarity.pearson, similarity.cosine])
+def test_similarities_by_strips(crowd, monkeypatch, measure):
+    strip, join = both_forms(monkeypatch, lambda: similarity.user_similarities(crowd, measure))
+    assert list(strip["a"]) == list(join["a"]) and list(strip["b"]) == list(join["b"])
+    assert abs(strip["sim"] - join["sim"]).max() < 2e-6
+    monkeypatch.setattr(strips, "FEW_THINGS", 0)
+    assert is_one_pass(similarity.user_similarities(crowd, measure))
+
+
+@pytest.mark.parametrize("threshold", [0.2, -0.4])
+def test_user_based_by_strips(crowd, monkeypatch, threshold):
+    strip, join = both_forms(monkeypatch, lambda: recommend.user_based(crowd, CFParams(threshold)).drop("score").filter("abs(raw) < 1e6"))
+    assert list(strip["user_id"]) == list(join["user_id"]) and list(strip["item_id"]) == list(join["item_id"])
+    assert abs(strip["raw"] - join["raw"]).max() < (2e-6 if threshold > 0 else 1e-3)  # weights of both signs may nearly cancel
+
+
+def test_mean_centred_by_strips(crowd, monkeypatch):
+    strip, join = both_forms(monkeypatch, lambda: recommend.mean_centred(crowd, CFParams(0.2)).drop("score"))
+    assert list(strip["user_id"]) == list(join["user_id"]) and list(strip["item_id"]) == list(join["item_id"])
+    assert abs(strip["raw"] - join["raw"]).max() < 2e-6
+
+
+def test_thresholds_by_strips(crowd, monkeypatch):
+    wanted = crowd.select("user_id").distinct().crossJoin(crowd.select("item_id").distinct().filter("item_id % 5 = 0"))
+    strip, join = both_forms(monkeypatch, lambda: recommend.user_based_at(crowd, [0.0, 0.25, 0.9], wanted))
+    assert len(strip) == len(join) and strip["user_threshold"].nunique() == 3
+    assert (strip.drop(columns="raw") == join[strip.columns].drop(columns="raw")).all().all()
+    assert abs(strip["raw"] - join["raw"]).max() < 2e-6
+
+
+def test_odd_scores_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(strips, "FEW_THINGS", 0)
+    rows = [(t, k, float(t + k)) for t in range(20) for k in range(3)]
+    for odd in ((20, 0, None), (20, None, 1.0), (None, 0, 1.0), (20, 0, float("nan")), (20, 0, 1e80)):
+        assert strips.lay_out(similarity.stored(spark.createDataFrame([*rows, odd], "thing long, key long, score double"))) is None
+    assert strips.lay_out(similarity.stored(spark.createDataFrame(rows, "thing long, key long, score double"))).things == 20
