@@ -3,8 +3,9 @@
 All strategies return k, itemset (ascending array), support, and agree. Items that can't be frequent
 go before any basket is put together; what is left of a basket is one array, so pairs and longer
 itemsets are made inside rows, without a join on the basket, and counted by aggregates that combine
-on the map side. Levels loop on the driver, at most ``max_k`` times. Each level's rows are written
-once and deleted when the next level is made from them. Rows without a basket or an item don't count.
+on the map side. Where many baskets are equal, they are one row with their number. Levels loop on the
+driver, at most ``max_k`` times, and each makes its itemsets from the baskets anew: what baskets hold
+is never written itemset by itemset. Rows without a basket or an item don't count.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from basketry.storage import discard, materialize
 
 #: Items or itemsets that are sent to all tasks; beyond that, joins are shuffled.
 FEW = 200_000
+#: Equal baskets are put together if there are so many times fewer different ones.
+ALIKE = 2
 
 
 @dataclass
@@ -36,8 +39,26 @@ def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= FEW else rows
 
 
-def _start(occ: DataFrame, params: MiningParams) -> tuple[DataFrame, DataFrame, int, int]:
-    """tid, items (ascending) of baskets, reduced to items that may be frequent; frequent items; baskets; least support."""
+@dataclass
+class Start:
+    """What every miner begins with; given to several, it is made once.
+
+    ``base`` holds tid, items (ascending) of baskets, reduced to items that may be frequent; in
+    ``kinds``, with n, equal baskets are one row. ``items`` are the frequent ones.
+    """
+
+    base: DataFrame
+    kinds: DataFrame
+    items: DataFrame
+    baskets: int
+    least: int
+
+    def end(self) -> None:
+        discard(self.base)
+        discard(self.kinds)
+
+
+def start(occ: DataFrame, params: MiningParams) -> Start:
     rows = occ.select("tid", "item").filter(F.col("tid").isNotNull() & F.col("item").isNotNull())
     no_tid, no_item = (F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("tid", "item"))
     # one scan gives the baskets and how often each item occurs, which is no less than in how many baskets
@@ -48,8 +69,17 @@ def _start(occ: DataFrame, params: MiningParams) -> tuple[DataFrame, DataFrame,
     often = seen.filter(F.col("item").isNotNull() & (F.col("n") >= least)).select("item")
     base = materialize(rows.join(_few(often), "item", "left_semi").groupBy("tid").agg(F.array_sort(F.collect_set("item")).alias("items")), "baskets")
     discard(seen)
-    items = base.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("support"))
-    return base, materialize(items.filter(F.col("support") >= least), "items"), baskets, least
+    kinds = _together(base)
+    items = kinds.select(F.explode("items").alias("item"), "n").groupBy("item").agg(F.sum("n").alias("support"))
+    return Start(base, kinds, materialize(items.filter(F.col("support") >= least), "items"), baskets, least)
+
+
+def _together(base: DataFrame) -> DataFrame:
+    """``base`` with n, the number of equal baskets, each of which is there once if that saves much."""
+    told = base.agg(F.count("*").alias("rows"), F.approx_count_distinct(F.xxhash64("items")).alias("kinds")).first()
+    if told["kinds"] * ALIKE > told["rows"]:
+        return base.withColumn("n", F.lit(1).cast("long"))
+    return materialize(base.groupBy("items").agg(F.min("tid").alias("tid"), F.count("*").alias("n")).select("tid", "items", "n"), "kinds")
 
 
 def candidates(level: DataFrame) -> DataFrame:
@@ -64,61 +94,63 @@ def candidates(level: DataFrame) -> DataFrame:
 
 
 def _pairs(base: DataFrame) -> DataFrame:
-    """tid, items, itemset of every two items of a basket; made one after the other, never all of a basket at once."""
-    first = base.select("tid", "items", F.posexplode("items").alias("at", "first"))
+    """items, n, itemset of every two items of a basket; made one after the other, never all of a basket at once."""
+    first = base.select("items", "n", F.posexplode("items").alias("at", "first"))
     later = F.slice("items", F.col("at") + 2, F.greatest(F.size("items") - F.col("at") - 1, F.lit(0)))
-    return first.select("tid", "items", "first", F.explode(later).alias("second")).select("tid", "items", F.array("first", "second").alias("itemset"))
+    return first.select("items", "n", "first", F.explode(later).alias("second")).select("items", "n", F.array("first", "second").alias("itemset"))
 
 
 def _longer(rows: DataFrame) -> DataFrame:
-    """``rows`` (tid, items, itemset) with each later item of the basket added."""
+    """``rows`` (items, n, itemset) with each later item of the basket added."""
     more = F.explode(F.filter("items", lambda x: x > F.element_at("itemset", -1)))
-    return rows.select("tid", "items", "itemset", more.alias("more")).select("tid", "items", F.concat("itemset", F.array("more")).alias("itemset"))
+    return rows.select("items", "n", "itemset", more.alias("more")).select("items", "n", F.concat("itemset", F.array("more")).alias("itemset"))
 
 
-def _levels(occ: DataFrame, params: MiningParams, pair_filter=None) -> Frequent:
-    base, items, baskets, least = _start(occ, params)
-    level = items.select(F.lit(1).alias("k"), F.array("item").alias("itemset"), "support")
-    found, held = level, base
+def _levels(occ: DataFrame | Start, params: MiningParams, pair_filter=None) -> Frequent:
+    begun = occ if isinstance(occ, Start) else start(occ, params)
+    base, least = begun.kinds, begun.least
+    level = begun.items.select(F.lit(1).alias("k"), F.array("item").alias("itemset"), "support")
+    found, rows = level, None
     for k in range(2, params.max_k + 1):
         if k == 2:
             rows = _pairs(base) if pair_filter is None else pair_filter(_pairs(base), least)
         else:
-            rows = _longer(held).join(_few(materialize(candidates(level), "candidates")), "itemset", "left_semi")
-        level = rows.groupBy("itemset").agg(F.count("*").alias("support")).filter(F.col("support") >= least)
+            # the rows of the level before, of which those that are frequent go on
+            before = rows.join(_few(level.select("itemset")), "itemset", "left_semi")
+            rows = _longer(before).join(_few(materialize(candidates(level), "candidates")), "itemset", "left_semi")
+        level = rows.groupBy("itemset").agg(F.sum("n").alias("support")).filter(F.col("support") >= least)
         level = materialize(level.select(F.lit(k).alias("k"), "itemset", "support"), "level")
         if level.isEmpty():
             break
         found = found.union(level)
-        if k < params.max_k:
-            before, held = held, materialize(rows.join(_few(level.select("itemset")), "itemset", "left_semi").select("tid", "items", "itemset"), "held")
-            discard(before)
-    discard(held)
-    return Frequent(found, baskets, least)
+    if begun is not occ:
+        begun.end()
+    return Frequent(found, begun.baskets, least)
 
 
-def apriori(occ: DataFrame, params: MiningParams) -> Frequent:
+def apriori(occ: DataFrame | Start, params: MiningParams) -> Frequent:
     """Levels of candidates that are closed under subsets, each counted by a join on the basket."""
     return _levels(occ, params)
 
 
-def dhp(occ: DataFrame, params: MiningParams, buckets: int = 1 << 16) -> Frequent:
+def dhp(occ: DataFrame | Start, params: MiningParams, buckets: int = 1 << 16) -> Frequent:
     """As apriori(), with pairs first counted in hash buckets: only pairs of a heavy bucket are counted exactly."""
 
     def heavy(rows: DataFrame, least: int) -> DataFrame:
         rows = rows.withColumn("bucket", F.pmod(F.xxhash64("itemset"), F.lit(buckets)))
-        kept = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("bucket")
+        kept = rows.groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("bucket")
         # no more rows than buckets
         return rows.join(_few(materialize(kept, "buckets")), "bucket", "left_semi").drop("bucket")
 
     return _levels(occ, params, heavy)
 
 
-def fp_growth(occ: DataFrame, params: MiningParams) -> Frequent:
+def fp_growth(occ: DataFrame | Start, params: MiningParams) -> Frequent:
     """Prefix trees over frequency-ordered baskets, grown in parallel by Spark's own miner."""
     from pyspark.ml.fpm import FPGrowth
 
-    base, _, baskets, least = _start(occ, params)
+    begun = occ if isinstance(occ, Start) else start(occ, params)
+    base, baskets, least = begun.base, begun.baskets, begun.least
     # half a basket below the count: the miner rounds its threshold up. It counts the rows it is given, which are those with a frequent item
     rows = base.count()
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(1, rows))).fit(base)
@@ -126,35 +158,42 @@ def fp_growth(occ: DataFrame, params: MiningParams) -> Frequent:
     return Frequent(sets.select(F.size("items").alias("k"), F.array_sort("items").alias("itemset"), F.col("freq").alias("support")), baskets, least)
 
 
-def _postings(base: DataFrame, chunk_baskets: int, baskets: int) -> DataFrame:
-    """item, chunk, tids: posting lists cut by a hash of the basket into chunks of bounded length."""
-    chunks = max(1, -(-baskets // chunk_baskets))
-    return base.select("tid", F.explode("items").alias("item")).groupBy("item", F.pmod(F.xxhash64("tid"), F.lit(chunks)).alias("chunk")).agg(F.collect_list("tid").alias("tids"))
+def _postings(kinds: DataFrame, chunk_baskets: int) -> DataFrame:
+    """item, chunk, tids: posting lists cut by a hash of the basket into chunks of bounded length.
+
+    A basket that stands for n is in the lists of each bit of n, where it counts as much as the bit.
+    """
+    chunks = max(1, -(-kinds.count() // chunk_baskets))
+    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(62)), lambda b: F.getbit("n", b) == 1)).alias("bit")
+    rows = kinds.select("tid", "items", bit).select("tid", "bit", F.explode("items").alias("item"))
+    return rows.groupBy("item", F.struct(F.pmod(F.xxhash64("tid"), F.lit(chunks)).alias("part"), "bit").alias("chunk")).agg(F.collect_list("tid").alias("tids"))
 
 
-def vertical(occ: DataFrame, params: MiningParams, chunk_baskets: int = 1 << 14) -> Frequent:
+def vertical(occ: DataFrame | Start, params: MiningParams, chunk_baskets: int = 1 << 14) -> Frequent:
     """One scan builds an inverted index; a support is the size of the intersection of posting lists.
 
     Lists are intersected chunk by chunk, so neither a list nor an intersection is ever whole in
     one task, and the chunks' counts are summed.
     """
-    base, items, baskets, least = _start(occ, params)
-    lists = materialize(_postings(base, chunk_baskets, baskets), "postings")
-    level = items.select(F.lit(1).alias("k"), F.array("item").alias("itemset"), "support")
+    begun = occ if isinstance(occ, Start) else start(occ, params)
+    least = begun.least
+    lists = materialize(_postings(begun.kinds, chunk_baskets), "postings")
+    level = begun.items.select(F.lit(1).alias("k"), F.array("item").alias("itemset"), "support")
     found, held = level, lists.select(F.array("item").alias("itemset"), "chunk", "tids")
     for k in range(2, params.max_k + 1):
         wanted = candidates(level).withColumn("prefix", F.slice("itemset", 1, k - 1)).withColumn("item", F.element_at("itemset", -1))
         rows = wanted.join(held.withColumnRenamed("itemset", "prefix"), "prefix").join(lists.withColumnRenamed("tids", "more"), ["item", "chunk"])
         rows = rows.select("itemset", "chunk", F.array_intersect("tids", "more").alias("tids")).filter(F.size("tids") > 0)
         rows = materialize(rows, "intersections")
-        level = rows.groupBy("itemset").agg(F.sum(F.size("tids")).alias("support")).filter(F.col("support") >= least)
+        level = rows.groupBy("itemset").agg(F.sum(F.call_function("shiftleft", F.size("tids").cast("long"), F.col("chunk.bit"))).alias("support")).filter(F.col("support") >= least)
         level = materialize(level.select(F.lit(k).alias("k"), "itemset", "support"), "level")
         if level.isEmpty():
             break
         found = found.union(level)
         held = rows.join(level.select("itemset"), "itemset", "left_semi")
-    discard(base)
-    return Frequent(found, baskets, least)
+    if begun is not occ:
+        begun.end()
+    return Frequent(found, begun.baskets, least)
 
 
 def push(found: DataFrame, more: DataFrame) -> DataFrame:

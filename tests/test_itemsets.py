@@ -8,6 +8,7 @@ from basketry.operators import counters, dictionary, itemsets
 from basketry.operators.rules import rules
 from basketry.params import CFParams, MiningParams
 from basketry.sources.memory import memory_baskets
+from basketry.storage import materialize
 
 TEN = ["ab", "acde", "bcdf", "abcd", "abcf", "bcdf", "abcde", "ace", "bcd", "cf"]
 
@@ -105,3 +106,26 @@ def test_tuple_counters(spark):
 def test_candidates_are_closed(spark):
     level = spark.createDataFrame([(["a", "b"],), (["a", "c"],), (["b", "c"],), (["b", "d"],)], "itemset array<string>").withColumn("k", F.lit(2))
     assert [r["itemset"] for r in itemsets.candidates(level).collect()] == [["a", "b", "c"]]
+
+
+def test_equal_baskets_are_one_row(spark):
+    kinds = ["abc"] * 300 + ["abd"] * 41 + ["bc"] * 7 + ["e"] * 3 + ["a"]
+    occ = memory_baskets(spark, [list(x) for x in kinds])
+    params = MiningParams(3, 0.01, 0.4)
+    begun = itemsets.start(occ, params)
+    assert {("".join(r["items"]), r["n"]) for r in begun.kinds.collect()} == {("abc", 300), ("abd", 41), ("bc", 7), ("a", 1)}
+    wanted = {}
+    for k in (1, 2, 3):
+        for c in itertools.combinations("abcde", k):
+            if (n := sum(set(c) <= set(x) for x in kinds)) >= begun.least:
+                wanted[c] = n
+    for miner in itemsets.MINERS.values():
+        for of in (begun, occ):
+            assert {tuple(r["itemset"]): r["support"] for r in miner(of, params).itemsets.collect()} == wanted
+
+
+def test_what_baskets_hold_is_not_written(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(itemsets, "materialize", lambda df, name: names.append(name) or materialize(df, name))
+    itemsets.apriori(memory_baskets(spark, [x.split() for x in ("a b c", "a b d", "a c d", "b c d", "a b c d")]), MiningParams(4, 0.2, 0.4))
+    assert set(names) == {"seen", "baskets", "items", "candidates", "level"}
