@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from basketry.operators.similarity import IN_TILES, both_ways, item_similarities, one_score, pearson, stored, user_rows, user_similarities
 from basketry.operators.strips import lay_out
 from basketry.params import CFParams, rounded
+from basketry.storage import materialize
+
+#: Rules' parts that are sent to all tasks; beyond that, joins are shuffled.
+FEW = 200_000
 
 
 def _finish(weighted: DataFrame, ratings: DataFrame, params: CFParams) -> DataFrame:
@@ -139,10 +143,17 @@ def rule_based(ratings: DataFrame, rules: DataFrame) -> DataFrame:
     Items already rated are predicted too, and nothing is rounded to a whole score.
     """
     ratings = one_score(ratings)
-    numbered = rules.withColumn("rule", F.xxhash64(F.size("antecedent"), "antecedent", "consequent"))
-    needs = numbered.select("rule", F.size("antecedent").alias("needed"), F.explode("antecedent").alias("item_id"))
-    held = ratings.join(needs, "item_id").groupBy("user_id", "rule", "needed").agg(F.count("*").alias("n"), F.sum("score").alias("scores"))
+    # rules of one antecedent hold for the same users, and their confidences for an item add up
+    gives = rules.select("antecedent", "confidence", F.explode("consequent").alias("item_id")).groupBy("antecedent", "item_id").agg(F.sum("confidence").alias("confidence"))
+    gives = materialize(gives.withColumn("rule", F.xxhash64(F.size("antecedent"), "antecedent")), "gives")
+    small = gives.count() <= FEW
+    few = F.broadcast if small else lambda rows: rows
+    antecedents = gives.select("rule", "antecedent").distinct()
+    needs = antecedents.select("rule", F.size("antecedent").alias("needed"), F.explode("antecedent").alias("item_id"))
+    if small:
+        # where rules are sent to all tasks, a user stays in one from here on, and what the rules give isn't shuffled
+        ratings = ratings.repartition(int(ratings.sparkSession.conf.get("spark.sql.shuffle.partitions")), "user_id")
+    held = ratings.join(few(needs), "item_id").groupBy("user_id", "rule", "needed").agg(F.count("*").alias("n"), F.sum("score").alias("scores"))
     held = held.filter(F.col("n") == F.col("needed"))
-    gives = numbered.select("rule", "confidence", F.explode("consequent").alias("item_id"))
-    rows = held.join(gives, "rule")
+    rows = held.join(few(gives.select("rule", "item_id", "confidence")), "rule")
     return rows.groupBy("user_id", "item_id").agg(F.round(F.sum(F.col("confidence") * F.col("scores")) / F.sum(F.col("confidence") * F.col("n")), 6).alias("raw"))

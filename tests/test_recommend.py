@@ -1,4 +1,5 @@
 import itertools
+import re
 
 import pytest
 
@@ -186,3 +187,13 @@ def test_odd_scores_are_joined(spark, monkeypatch):
     for odd in ((20, 0, None), (20, None, 1.0), (None, 0, 1.0), (20, 0, float("nan")), (20, 0, 1e80)):
         assert strips.lay_out(similarity.stored(spark.createDataFrame([*rows, odd], "thing long, key long, score double"))) is None
     assert strips.lay_out(similarity.stored(spark.createDataFrame(rows, "thing long, key long, score double"))).things == 20
+
+
+def test_rules_of_one_antecedent_are_one(spark, toy):
+    """Users are joined to antecedents, not to rules."""
+    told = [([1], [3], 0.9), ([1], [4], 0.8), ([1], [3, 4], 0.5), ([1, 3], [4], 0.7)]
+    rules_ = spark.createDataFrame(told, "antecedent array<long>, consequent array<long>, confidence double")
+    found = recommend.rule_based(toy, rules_)
+    assert {(r["user_id"], r["item_id"]): r["raw"] for r in found.filter("user_id = 0").collect()} == {(0, 3): 3.0, (0, 4): pytest.approx((0.8 * 3 + 0.5 * 3 + 0.7 * 7) / (0.8 + 0.5 + 0.7 * 2), abs=1e-6)}
+    # ratings are shuffled to have one score each and then by user, and what rules give isn't
+    assert len(re.findall(r"Exchange hashpartitioning\(user_id#\d+L?, ", found._jdf.queryExecution().executedPlan().toString())) - 1 == len(re.findall(r"REPARTITION_BY_NUM", found._jdf.queryExecution().executedPlan().toString())) == 1
