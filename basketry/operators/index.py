@@ -8,11 +8,16 @@ shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.operators.dictionary import with_places
-from basketry.storage import join_hot
+from basketry.storage import join_hot, materialize
+
+#: Ids that are sent to all tasks; beyond that, joins are shuffled.
+FEW = 1_000_000
 
 
 def build(rows: DataFrame) -> DataFrame:
@@ -52,6 +57,23 @@ def document_frequencies(index: DataFrame) -> DataFrame:
     return index.groupBy("item").agg(F.count("*").alias("df"))
 
 
+def frequencies_of_words(docs: DataFrame, words: Callable[[DataFrame], DataFrame], id_col: str = "doc_id") -> DataFrame:
+    """item, df: in how many records each item is, where ``words`` gives tid, item of ``docs``, each item of a row once.
+
+    Only words of ids that several rows have are told apart by id before they are counted, so that
+    those of all others are summed up where they are found.
+    """
+    repeated = materialize(docs.groupBy(id_col).agg(F.count("*").alias("n")).filter(F.col("n") > 1).select(id_col), "repeated-ids")
+    how_many = repeated.count()
+    if not how_many:
+        return words(docs).groupBy("item").agg(F.count("*").alias("df"))
+    few = F.broadcast if how_many <= FEW else lambda rows: rows
+    same = docs[id_col].eqNullSafe(repeated[id_col])
+    once, often = words(docs.join(few(repeated), same, "left_anti")), words(docs.join(few(repeated), same, "left_semi"))
+    found = once.groupBy("item").agg(F.count("*").alias("df")).unionByName(often.select("tid", "item").distinct().groupBy("item").agg(F.count("*").alias("df")))
+    return found.groupBy("item").agg(F.sum("df").alias("df"))
+
+
 def find_records(index: DataFrame, item: str) -> DataFrame:
     """record_id, descending, of one item."""
     return index.filter(F.col("item") == item).select("record_id").orderBy(F.desc("record_id"))

@@ -83,6 +83,39 @@ def document_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.mapInArrow(run, f"tid {rows.schema['tid'].dataType.simpleString()}, item string, cnt long, positions array<long>, length long")
 
 
+#: Rows of a batch of words.
+WORDS_A_BATCH = 100_000
+
+
+def distinct_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = WORD) -> DataFrame:
+    """tid, item of document_words(), without places and counts: what an index of words needs. A row's words come once each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        find = regex.compile(pattern, regex.IGNORECASE).findall
+        for batch in batches:
+            kind, tids, sizes, items = batch.schema.field("tid").type, [], [], []
+
+            def told() -> pa.RecordBatch:
+                at = np.repeat(np.array(tids, np.int64), sizes)
+                return pa.RecordBatch.from_arrays([batch.column("tid").cast(kind).take(pa.array(at)), pa.array(items, pa.string())], ["tid", "item"])
+
+            for k, text in enumerate(batch.column("text")):
+                found = {x.replace("İ", "i").replace("Σ", "σ").lower() for x in set(find(text.as_py()))}
+                tids.append(k)
+                sizes.append(len(found))
+                items.extend(found)
+                if len(items) >= WORDS_A_BATCH:
+                    yield told()
+                    tids, sizes, items = [], [], []
+            if items:
+                yield told()
+
+    rows = docs.select(F.col(id_col).alias("tid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, f"tid {rows.schema['tid'].dataType.simpleString()}, item string")
+
+
 def _utf8_sizes(text: str) -> np.ndarray:
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     return 1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)

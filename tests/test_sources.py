@@ -142,3 +142,21 @@ def test_words_where_some_documents_have_none(spark, tmp_path):
 def test_word_frequency_where_some_documents_have_none(spark, tmp_path):
     rows = _same_as_sql(spark, tmp_path, "index_word_frequency")
     assert {("some", 1), ("words", 2), ("große", 1), ("istanbul", 1), ("σασασ", 1)} <= set(rows)
+
+
+def test_words_of_single_ids_are_not_told_apart(spark):
+    """Counts are those of the index, and only ids that come twice are shuffled with their words."""
+    texts = [(1, "Alpha beta ALPHA gamma"), (1, "beta delta"), (2, "alpha"), (None, "alpha omega"), (None, "Omega"), (3, None), (4, "ΣΟΦΟΣ İzmir")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    words = files.document_words(docs).select("item", F.col("tid").alias("record_id"))
+    wanted = {tuple(r) for r in index.document_frequencies(index.build(words)).collect()}
+    seen = []
+
+    def told(rows):
+        seen.append(sorted((r["doc_id"] or 0) for r in rows.collect()))
+        return files.distinct_words(rows)
+
+    assert {tuple(r) for r in index.frequencies_of_words(docs, told).collect()} == wanted
+    assert seen == [[2, 3, 4], [0, 0, 1, 1]]
+    seen.clear()
+    assert "tid" not in index.frequencies_of_words(docs.filter("doc_id > 1"), told)._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
